@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levylens.constants import (
@@ -15,7 +13,7 @@ from levylens.functions import (
     replace_first, rounded_text, sum0, sum_strict, whole,
 )
 from levylens.operators import (
-    arrange_desc, bind_rows, col_range, mutate, mutate_at, pivot_longer, select_positions,
+    bind_rows, col_range, mutate, mutate_at, pivot_longer, select_positions,
     semi_join, six_number_summary, slice_max, slice_min, summarise_at,
 )
 
@@ -180,8 +178,3 @@ def rate_view(rates: DataFrame, year: int = 2014) -> DataFrame:
     return mutate(
         rates.where(F.col("tax_year") == year), ("mean_value", mean), ("caption", caption)
     ).orderBy("income_group_ord")
-
-
-def largest_first(table: DataFrame, measures: Sequence[str] = (AGI,)) -> DataFrame:
-    """Report order of a finished table."""
-    return arrange_desc(table, measures[0])

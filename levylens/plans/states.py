@@ -14,7 +14,7 @@ from levylens.functions import (
     comma, if_else_na, is_in, log10, mean_strict, not_in, paste, ratio, sum0, sum_strict,
 )
 from levylens.operators import (
-    bind_rows, column_percent, merge_inner, mutate, pivot_longer, relocate, set_names, share,
+    bind_rows, merge_inner, mutate, pivot_longer, relocate, set_names, share,
     slice_max, summarise_at, totals_row,
 )
 from levylens.plans.income import V1_AGI_K, V1_LIABILITY_K, v1_dollars, v1_numbers, v2_numbers
@@ -129,11 +129,6 @@ def state_totals(table: DataFrame, year: int = 2019) -> DataFrame:
     return totals_row(table.where(F.col("tax_year") == year))
 
 
-def state_column_percent(table: DataFrame, year: int = 2019, bounded: bool = False) -> DataFrame:
-    """Every measure of a year as a share of its column."""
-    return column_percent(table.where(F.col("tax_year") == year), MEASURES, bounded)
-
-
 def legacy_state_groups(raw_v1: DataFrame, raw_v2: DataFrame) -> DataFrame:
     """Returns, income and tax (thousands) of three neighbours, New York and all other states."""
     a_state = F.col("state").isin(*STATE_NAMES)
