@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from levylens.functions._column import ColumnLike, col
@@ -10,12 +12,10 @@ def num(c: ColumnLike) -> Column:
 
     Spark reads a trailing Java type letter ("1d", "2F") as part of a number; here it is not one.
     """
-    text = col(c).cast("string")
-    type_letter = F.right(text, F.lit(1)).isin("d", "D", "f", "F")
-    infinity = F.lower(text).endswith("inf")
-    return F.when(F.coalesce(type_letter & ~infinity, F.lit(False)), None).otherwise(
-        text.try_cast("double")
-    )
+    text = col(c)
+    type_letter = reduce(Column.__or__, [text.endswith(letter) for letter in "dDfF"])
+    infinity = text.endswith("nf") | text.endswith("NF")
+    return F.when(type_letter & ~infinity, None).otherwise(text.try_cast("double"))
 
 
 def whole(c: ColumnLike) -> Column:

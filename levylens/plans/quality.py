@@ -8,7 +8,7 @@ from levylens.constants import AGI, MISLABELLED_HAMILTON_AGI_K
 from levylens.operators import (
     anti_join, count_rows, distinct_rows, first_per_key, intersect_keys, setdiff_keys,
 )
-from levylens.plans.sales import clean_counties
+from levylens.plans.sales import county_names
 
 
 def counties_per_year(counties: DataFrame) -> DataFrame:
@@ -46,4 +46,5 @@ def counties_missing_in(counties: DataFrame, year: int, present_in: int) -> Data
 
 def boundaries_without_sales(boundary: DataFrame, sales: DataFrame) -> DataFrame:
     """County names of the boundary table that the cleaned sales table lacks."""
-    return setdiff_keys(boundary, clean_counties(sales), "county")
+    names = county_names(distinct_rows(sales, "jurisdiction"))
+    return setdiff_keys(boundary, names, "county")

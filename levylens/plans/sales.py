@@ -23,17 +23,44 @@ def _sector() -> Column:
     return num(F.substring("naics_industry_group", 1, 2))
 
 
-def clean_counties(sales: DataFrame) -> DataFrame:
-    """Jurisdictions as county names, amounts as numbers."""
+def county_names(df: DataFrame) -> DataFrame:
+    """Upper-case jurisdictions as county names."""
     named = mutate(
-        sales,
+        df,
         ("jurisdiction", title_case("jurisdiction")),
         ("jurisdiction", replace_first("jurisdiction", "St ", "St. ")),
-        (AMOUNT, num(AMOUNT)),
     )
     return named.withColumnRenamed("jurisdiction", "county")
 
 
+def clean_counties(sales: DataFrame) -> DataFrame:
+    """Sales rows with county names and amounts as numbers."""
+    return county_names(sales.withColumn(AMOUNT, num(AMOUNT)))
+
+
+def named_totals(sales: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Sales by tax year, jurisdiction and `keys`, with jurisdictions then renamed to counties.
+
+    Names are cleaned once per group of equally spelled rows, not once per row: the text rules
+    cost far more than the sum. Two spellings of one county stay apart until summed again.
+    """
+    groups = sales.groupBy("sales_tax_year", "jurisdiction", *keys)
+    return county_names(groups.agg(sum0(num(AMOUNT)).alias(name)))
+
+
+def county_totals(sales: DataFrame, name: str, first_year_only: bool = False) -> DataFrame:
+    """Sales by tax year, county and industry, hash-partitioned by year and county.
+
+    What is shuffled for the second sum is already aggregated, one row per industry, year and
+    spelling of a county, and its partitioning also serves a window per county and year.
+    """
+    totals = named_totals(sales, name, INDUSTRY)
+    if first_year_only:
+        totals = totals.withColumn("sales_tax_year", replace_first("sales_tax_year", " .*", ""))
+    place = ["sales_tax_year", "county"]
+    return totals.repartition(*place).groupBy(*place, *INDUSTRY).agg(sum0(name).alias(name))
+
+
 def industry_totals(
     sales: DataFrame, jurisdiction: str, year: str, industry: str | None = None
 ) -> DataFrame:
@@ -96,11 +123,7 @@ def top_sectors(
 
 def top_industry_by_county(sales: DataFrame) -> DataFrame:
     """The industry with the largest sales in each county and year; ties stay."""
-    totals = (
-        clean_counties(sales)
-        .groupBy("sales_tax_year", "county", *INDUSTRY)
-        .agg(sum0(AMOUNT).alias("total_rev"))
-    )
+    totals = county_totals(sales, "total_rev")
     return slice_max(totals, "total_rev", 1, by=["sales_tax_year", "county"], bounded=True)
 
 
@@ -111,12 +134,7 @@ def industry_share(
 
     The shares are taken over the county's whole year before the industries are picked.
     """
-    totals = (
-        clean_counties(sales)
-        .withColumn("sales_tax_year", replace_first("sales_tax_year", " .*", ""))
-        .groupBy("sales_tax_year", "county", *INDUSTRY)
-        .agg(sum0(AMOUNT).alias("Revenue"))
-    )
+    totals = county_totals(sales, "Revenue", first_year_only=True)
     percent = "Percent of total revenue"
     shares = share(totals, {percent: "Revenue"}, ["sales_tax_year", "county"], bounded=True)
     picked = shares.withColumn(percent, F.col(percent) * 100).where(
@@ -148,19 +166,24 @@ def quarterly_series(
     return dated.withColumn("date", year_month("date")).orderBy("date", "jurisdiction")
 
 
+def _is_fourth_quarter() -> Column:
+    return F.col("sales_tax_quarter") == "4"
+
+
 def fourth_quarter(sales: DataFrame) -> DataFrame:
     """Fourth-quarter rows of the counties, without the roll-ups."""
-    return clean_counties(sales).where(
-        not_in("county", SALES_ROLLUPS) & (F.col("sales_tax_quarter") == "4")
-    )
+    rows = clean_counties(sales.where(_is_fourth_quarter()))
+    return rows.where(not_in("county", SALES_ROLLUPS))
 
 
 def top_industries_q4(sales: DataFrame, sectors: DataFrame, n: int = 5) -> DataFrame:
     """The first n industries of each year by fourth-quarter sales; ties are cut by code."""
-    rows = merge_left(fourth_quarter(sales).withColumn("sector", _sector()), sectors, "sector")
-    totals = rows.groupBy("sales_tax_year", "naics_industry_group").agg(sum0(AMOUNT).alias("total"))
-    order = [F.desc("total"), F.asc("naics_industry_group")]
-    return slice_head(totals, n, order, by=["sales_tax_year"])
+    code = "naics_industry_group"
+    named = named_totals(sales.where(_is_fourth_quarter()), "total", [code])
+    counties = named.where(not_in("county", SALES_ROLLUPS)).withColumn("sector", _sector())
+    totals = merge_left(counties, sectors, "sector")
+    totals = totals.groupBy("sales_tax_year", code).agg(sum0("total").alias("total"))
+    return slice_head(totals, n, [F.desc("total"), F.asc(code)], by=["sales_tax_year"])
 
 
 def sales_frequency(sales: DataFrame, column: str) -> DataFrame:

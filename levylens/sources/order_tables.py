@@ -141,61 +141,65 @@ def boundary_names() -> list[tuple]:
 EXTRA_BOUNDARY = (24, "36091", "Saratoga")
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Columns read, declared so that planning opens no data file.
+SCHEMAS = {
+    "customer": "c_custkey LONG, c_nationkey INT",
+    "lineitem": "l_partkey LONG, l_suppkey LONG, l_extendedprice DOUBLE, l_discount DOUBLE,"
+    " l_shipdate TIMESTAMP_NTZ",
+    "nation": "n_nationkey INT, n_name STRING",
+    "orders": "o_custkey LONG, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ,"
+    " o_orderpriority STRING",
+    "part": "p_partkey LONG, p_brand STRING, p_type STRING",
+    "supplier": "s_suppkey LONG, s_nationkey INT",
+}
 
 
-def _cents(amount: str) -> Column:
-    return F.rint(F.col(amount) * 100).cast("long")
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _money_text(cents: Column, scale: str) -> Column:
+def _money_text(cents: str, factor: str) -> Column:
     """Whole cents times a decimal factor as plain digits."""
-    digits = len(scale.split(".")[1])
-    factor = F.lit(scale).cast(f"decimal({digits + 1},{digits})")
-    return (cents.cast("decimal(28,0)") * factor).cast("string")
+    return F.expr(f"STRING(CAST({cents} AS DECIMAL(28,0)) * {factor}BD)")
 
 
 def _lookup(c: Column, pairs: list[tuple], default: Column) -> Column:
     return F.coalesce(*[F.when(c == key, F.lit(value)) for key, value in pairs], default)
 
 
-def _income_base(spark: SparkSession, folder: str, in_period: Column) -> DataFrame:
-    """One row per year, nation, income class number and tax rate (hundredths).
+def _income_base(
+    spark: SparkSession, folder: str, in_period: Column, by_class: bool
+) -> DataFrame:
+    """One row per year, nation, tax rate (hundredths) and, if wanted, income class number.
 
     Classes are numbered inside the scan stage; labels are attached to the aggregate.
     """
-    price = F.col("o_totalprice")
-    income_class = F.lit(1)
-    for _, bound in INCOME_CLASSES[:-1]:
-        income_class = income_class + (price >= bound).cast("int")
+    steps = [f"INT(o_totalprice >= {bound})" for _, bound in INCOME_CLASSES[:-1]]
+    keys = ["year", "nation", "rate", *(["class"] if by_class else [])]
     orders = (
         _table(spark, folder, "orders")
         .where(in_period)
-        .select(
+        .selectExpr(
             "o_custkey",
-            F.year("o_orderdate").alias("year"),
-            income_class.alias("class"),
-            F.substring("o_orderpriority", 1, 1).cast("int").alias("rate"),
-            _cents("o_totalprice").alias("cents"),
+            "YEAR(o_orderdate) AS year",
+            "INT(LEFT(o_orderpriority, 1)) AS rate",
+            "BIGINT(RINT(o_totalprice * 100)) AS cents",
+            " + ".join(["1", *steps]) + " AS class",
         )
     )
-    customers = _table(spark, folder, "customer").select(
-        "c_custkey", F.col("c_nationkey").alias("nation")
-    )
+    customers = _table(spark, folder, "customer").withColumnRenamed("c_nationkey", "nation")
     return (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("year", "nation", "class", "rate")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("returns"), F.sum("cents").alias("cents"))
     )
 
 
 def _totals() -> list[Column]:
-    cents = F.col("cents").cast("decimal(28,0)")
     return [
         F.sum("returns").alias("returns"),
-        F.sum(cents).alias("cents"),
-        F.sum((cents * F.col("rate")).cast("decimal(28,0)")).alias("rate_cents"),
+        F.expr("SUM(CAST(cents AS DECIMAL(28,0))) AS cents"),
+        F.expr("SUM(CAST(cents AS DECIMAL(28,0)) * rate) AS rate_cents"),
         F.min("nation").alias("first_nation"),
     ]
 
@@ -211,7 +215,7 @@ def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
     # Class 0 is the total over classes.
     classes = F.explode(F.array(F.col("class"), F.lit(0)))
     summed = (
-        _income_base(spark, folder, before)
+        _income_base(spark, folder, before, by_class=True)
         .join(places, F.col("nation") == F.col("place"))
         .withColumn("class", classes)
         .groupBy("year", "state", "county", "class")
@@ -222,7 +226,7 @@ def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
     def error(county: str, year: int) -> Column:
         return (F.col("county") == county) & (F.col("year") == year) & (F.col("class") == 0)
 
-    agi = _money_text(F.col("cents"), "0.00001")
+    agi = _money_text("cents", "0.00001")
     county = F.when(error(" Greene", 1996), " Hamilton").otherwise(F.col("county"))
     return summed.select(
         F.col("year").cast("string").alias("tax_year"),
@@ -238,7 +242,7 @@ def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
         .when(error(" Hamilton", 1998), "n/a")
         .otherwise(agi)
         .alias("ny_agi_of_all_returns_in_thousands"),
-        _money_text(F.col("rate_cents"), "0.0000001").alias(
+        _money_text("rate_cents", "0.0000001").alias(
             "tax_liability_of_all_returns_in_thousands"
         ),
     )
@@ -249,7 +253,7 @@ def raw_income_v2(spark: SparkSession, folder: str) -> DataFrame:
     since = F.col("o_orderdate") >= F.lit(f"{FIRST_V2_YEAR}-01-01").cast("timestamp_ntz")
     places = inline(spark, v2_places(), ["place", "state", "county", "residence"])
     summed = (
-        _income_base(spark, folder, since)
+        _income_base(spark, folder, since, by_class=False)
         .join(places, F.col("nation") == F.col("place"))
         .groupBy("year", "state", "county", "residence")
         .agg(*_totals())
@@ -261,11 +265,11 @@ def raw_income_v2(spark: SparkSession, folder: str) -> DataFrame:
         F.col("residence").alias("place_of_residence"),
         F.explode(F.array(F.lit("All Returns"), F.lit("Taxable"))).alias("tax_liability_status"),
         F.col("returns").cast("string").alias("number_of_returns"),
-        _money_text(F.col("cents"), "0.01").alias(
+        _money_text("cents", "0.01").alias(
             "new_york_state_amount_of_ny_adjusted_gross_income"
         ),
-        _money_text(F.col("cents"), "0.011").alias("federal_amount_of_ny_adjusted_gross_income"),
-        _money_text(F.col("rate_cents"), "0.0001").alias("tax_liability"),
+        _money_text("cents", "0.011").alias("federal_amount_of_ny_adjusted_gross_income"),
+        _money_text("rate_cents", "0.0001").alias("tax_liability"),
         F.floor(F.col("returns") / 4)
         .cast("string")
         .alias("number_filing_married_separate_or_widow_widower"),
@@ -286,17 +290,14 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     The tax year starts in March. Hamilton's fourth quarters are not numbers.
     """
     new_york = [key for key, state, _ in PLACES if state == "New York"]
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 3  # months since March of year 0
     # Price after discount, rounded half up to whole cents.
-    net = F.expr(
-        "(CAST(RINT(l_extendedprice * 100) AS BIGINT)"
-        " * (100 - CAST(RINT(l_discount * 100) AS BIGINT)) + 50) DIV 100"
-    )
-    lines = _table(spark, folder, "lineitem").select(
+    lines = _table(spark, folder, "lineitem").selectExpr(
         "l_partkey",
         "l_suppkey",
-        F.floor(month / 3).cast("int").alias("quarter"),
-        net.alias("cents"),
+        # Quarters since March of year 0.
+        "(YEAR(l_shipdate) * 12 + MONTH(l_shipdate) - 3) DIV 3 AS quarter",
+        "(BIGINT(RINT(l_extendedprice * 100)) * (100 - BIGINT(RINT(l_discount * 100))) + 50)"
+        " DIV 100 AS cents",
     )
     suppliers = (
         _table(spark, folder, "supplier")
@@ -314,10 +315,10 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     summed = (
         base.join(places, F.col("nation") == F.col("place"))
         .groupBy("quarter", "jurisdiction", "industry")
-        .agg(F.sum(F.col("cents").cast("decimal(28,0)")).alias("cents"))
+        .agg(F.expr("SUM(CAST(cents AS DECIMAL(28,0))) AS cents"))
     )
-    year = F.floor(F.col("quarter") / 4).cast("int")
-    quarter = F.col("quarter") % 4
+    year = F.expr("INT(quarter DIV 4)")
+    quarter = F.expr("INT(quarter % 4)")
     naics = F.col("industry").cast("string")
     other = F.concat(F.lit("Industry group "), naics)
     periods = F.array(*[F.lit(text) for _, text in SELLING_PERIODS])
@@ -330,7 +331,7 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         naics.alias("naics_industry_group"),
         _lookup(naics, NAMED_INDUSTRIES, other).alias("description"),
         F.when(unreadable, "n/a")
-        .otherwise(_money_text(F.col("cents"), "0.01"))
+        .otherwise(_money_text("cents", "0.01"))
         .alias("taxable_sales_and_purchases"),
     )
 
