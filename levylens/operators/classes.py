@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from levylens.functions._column import ColumnLike, col
 
-MAX_BINS = 1024
+# More than there are counties in the United States.
+MAX_BINS = 4096
 
 
 def natural_breaks(df: DataFrame, measure: ColumnLike, k: int) -> list[float]:
@@ -28,7 +29,9 @@ def natural_breaks(df: DataFrame, measure: ColumnLike, k: int) -> list[float]:
         edges = values.agg(
             F.percentile_approx("v", [i / MAX_BINS for i in range(1, MAX_BINS)], 10 * MAX_BINS)
         ).scalar()
-        bins = values.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+        bins = values.withColumn("edges", edges).withColumn(
+            "b", F.size(F.filter("edges", lambda e: e < F.col("v")))
+        )
         rows = bins.groupBy("b").agg(
             F.max("v").alias("v"),
             F.sum("n").alias("n"),
