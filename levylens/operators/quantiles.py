@@ -31,21 +31,17 @@ def exact_quantiles(
         .groupBy(*keys, col(measure).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # Both uses of `counts` need the same columns, so its shuffle runs once and is read twice.
     edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / _BINS for i in range(1, _BINS)], 10 * _BINS).alias("_edges")
+        F.percentile_approx(value, [i / _BINS for i in range(1, _BINS)], 10 * _BINS).alias("_edges"),
+        F.sum("_n").alias("_size"),
     )
     binned = null_safe_join(counts, edges, by, "inner").select(
-        *keys, value, "_n", F.size(F.filter("_edges", lambda e: e < value)).alias("_bin")
+        *keys, value, "_n", "_size", F.size(F.filter("_edges", lambda e: e < value)).alias("_bin")
     )
 
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
-    in_group = W.partitionBy(*keys)
-    bins = bins.withColumns(
-        {
-            "_size": F.sum("_n").over(in_group),
-            "_upto": F.sum("_n").over(in_group.orderBy("_bin")),
-        }
-    )
+    bins = binned.groupBy(*keys, "_size", "_bin").agg(F.sum("_n").alias("_n"))
+    bins = bins.withColumn("_upto", F.sum("_n").over(W.partitionBy(*keys).orderBy("_bin")))
     ranks = F.array_distinct(
         F.flatten(F.array(*[F.array(*_neighbours(p, F.col("_size"))) for p in probs]))
     )
@@ -53,7 +49,7 @@ def exact_quantiles(
         bins.withColumn("_before", F.col("_upto") - F.col("_n"))
         .withColumn("_rank", F.explode(ranks))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
-        .groupBy(*keys, "_bin", "_before", "_size")
+        .groupBy(*keys, "_bin", "_before")
         .agg(F.collect_set("_rank").alias("_ranks"))
     )
 
