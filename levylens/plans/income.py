@@ -113,10 +113,24 @@ def county_extremes(
     largest: bool = True,
     bounded: bool = False,
 ) -> DataFrame:
-    """The whole series of the n counties with the largest or smallest value in one year."""
-    pick = slice_max if largest else slice_min
-    chosen = pick(counties.where(F.col("tax_year") == year), measure, n, bounded=bounded)
-    return semi_join(counties, chosen.select("county").distinct(), ["county"])
+    """The whole series of the n counties with the largest or smallest value in one year.
+
+    A bounded input is read once, with one window per year and one per county. Otherwise the
+    counties are picked first and the table is read again through a semi-join on them.
+    """
+    in_year = F.col("tax_year") == year
+    if not bounded:
+        chosen = (slice_max if largest else slice_min)(counties.where(in_year), measure, n)
+        return semi_join(counties, chosen.select("county").distinct(), ["county"])
+    order = F.desc_nulls_last(measure) if largest else F.asc_nulls_last(measure)
+    rank = F.rank().over(W.partitionBy("tax_year").orderBy(order))
+    picked = in_year & F.col(measure).isNotNull() & (F.col("_rank") <= n)
+    flagged = mutate(
+        counties,
+        ("_rank", rank),
+        ("_picked", F.max(picked).over(W.partitionBy("county"))),
+    )
+    return flagged.where("_picked").drop("_rank", "_picked")
 
 
 def county_ranking(counties: DataFrame, year: int = 2019) -> DataFrame:

@@ -22,7 +22,10 @@ def county_map(
 
 
 def county_classes(mapped: DataFrame, k: int = 5, log: bool = False) -> DataFrame:
-    """`county_map` with the natural-break class of income, on a log scale if wanted."""
+    """`county_map` with the natural-break class of income, on a log scale if wanted.
+
+    Finding the breaks runs a job over `mapped`, so give a stored table.
+    """
     measure = log10(AGI) if log else F.col(AGI)
     return mapped.withColumn("class", classify(measure, natural_breaks(mapped, measure, k)))
 

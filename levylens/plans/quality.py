@@ -36,12 +36,13 @@ def counties_in_both(counties: DataFrame, year: int, other_year: int) -> DataFra
 
 
 def counties_missing_in(counties: DataFrame, year: int, present_in: int) -> DataFrame:
-    """Rows of the year `present_in` whose county has no plausible row in `year`."""
-    return anti_join(
-        first_row_per_county(counties, present_in),
-        counties_in_both(counties, year, present_in),
-        ["county"],
-    )
+    """Rows of the year `present_in` whose county has no plausible row in `year`.
+
+    Leaving out the counties of both years from those of one is the same as leaving out those of
+    the other.
+    """
+    rows = first_row_per_county(counties, present_in)
+    return anti_join(rows, first_row_per_county(counties, year), ["county"])
 
 
 def boundaries_without_sales(boundary: DataFrame, sales: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def export_sheets(sheets: Mapping[str, DataFrame], root: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The table written to the shared folder and read back, for results that are used twice.
+
+    Reading the copy neither repeats the work nor depends on the executors that did it.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    save_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, below the session's `spark.checkpoint.dir`.
 

@@ -138,8 +138,10 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             t.counties, bounded=True
         ),
         "county_map": lambda t: t.county_map,
-        "county_classes": lambda t: maps.county_classes(t.county_map),
-        "county_classes_log": lambda t: maps.county_classes(t.county_map, log=True),
+        "county_classes": lambda t: maps.county_classes(sinks.staged(t.county_map, "map")),
+        "county_classes_log": lambda t: maps.county_classes(
+            sinks.staged(t.county_map, "map"), log=True
+        ),
         # by income group
         "effective_rate": lambda t: t.rates,
         "rate_view": lambda t: income.rate_view(t.rates, RATE_YEARS[1]),
