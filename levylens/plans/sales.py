@@ -11,7 +11,7 @@ from levylens.functions import (
     month_no, not_in, num, percent_text, replace_first, sum0, title_case, year_month,
 )
 from levylens.operators import (
-    column_percent, frequency, merge_left, mutate, pivot_longer, share, slice_head, slice_max,
+    column_percent, distinct_rows, frequency, merge_left, mutate, pivot_longer, share, slice_head, slice_max,
     unite,
 )
 
@@ -103,6 +103,12 @@ def sector_totals(sales: DataFrame, sectors: DataFrame, jurisdiction: str, year:
     )
 
 
+def sector_descriptions(sales: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Description of every two-digit code in use, missing for codes the sector table lacks."""
+    codes = distinct_rows(sales.withColumn("sector", _sector()), "sector")
+    return merge_left(codes, sectors, "sector")
+
+
 def top_sectors(
     sales: DataFrame,
     sectors: DataFrame,

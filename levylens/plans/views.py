@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from levylens.functions import dollar, month_label, percent_label, unit_label
 from levylens.operators import choices
 
 MAX_ITEMS = 6
@@ -43,6 +44,26 @@ def industry_view(
     return picked.orderBy("sales_tax_year", "county")
 
 
+def dollar_labels(view: DataFrame) -> DataFrame:
+    """Whole dollars with thousands separators, as on the axis of `region_view`."""
+    return view.withColumn("label", dollar("value"))
+
+
+def percent_labels(view: DataFrame) -> DataFrame:
+    """Whole percentages, as on the axes of the share views."""
+    return view.withColumn("label", percent_label("value"))
+
+
+def unit_labels(view: DataFrame, measure: str, unit: str, digits: int = 1) -> DataFrame:
+    """Billions ("B"), millions ("M") or thousands ("T") of a measure."""
+    return view.withColumn("label", unit_label(measure, unit, digits))
+
+
+def month_labels(series: DataFrame) -> DataFrame:
+    """Month and year of the dates of `quarterly_series`."""
+    return series.withColumn("month", month_label("date"))
+
+
 def variable_choices(regions: DataFrame) -> DataFrame:
     return choices(regions, "variable")
 

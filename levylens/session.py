@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Join by hash instead of sorting where every partition of one side turned out this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Malformed text is handled expression by expression; anything unexpected should fail.
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

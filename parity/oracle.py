@@ -496,6 +496,11 @@ def oracle_sql() -> dict[str, str]:
         "top_industries": _kept_table(ONE_JURISDICTION, "description", "Industry"),
         "top_sectors_kept": _kept_table("sector_sums", "sector_description", "Sector"),
         "top_sectors_all": _percent_table("sector_sums", "sector_description", "Sector"),
+        "sector_descriptions": """
+            SELECT DISTINCT CAST(left(naics_industry_group, 2) AS DOUBLE) AS sector,
+                   sector_description
+            FROM raw_sales LEFT JOIN sectors s
+              ON CAST(left(naics_industry_group, 2) AS DOUBLE) = s.sector""",
         "top_industry_by_county": """
             SELECT sales_tax_year, county, naics_industry_group, description,
                    round(total_rev, 4) AS total_rev
@@ -566,6 +571,21 @@ def oracle_sql() -> dict[str, str]:
             FROM industry_share
             WHERE variable = 'Percent of total revenue' AND description = 'Department Stores'
               AND county IN ('Albany', 'Erie')""",
+        "view_region_labels": f"""
+            SELECT tax_year, region, variable, {V6},
+                   '$' || format('{{:,}}', CAST(round(value) AS BIGINT)) AS label
+            FROM regions WHERE variable = 'Tax liability per returnee'""",
+        "view_share_labels": f"""
+            SELECT tax_year, category, variable, {V6},
+                   CAST(round(100 * value) AS INTEGER) || '%' AS label
+            FROM resident""",
+        "county_ranking_labels": f"""
+            SELECT county, round({AGI}, 4) AS {AGI},
+                   format('{{:,.1f}}', {AGI} / 1000000) || ' M' AS label
+            FROM counties WHERE tax_year = {YEAR}""",
+        "quarterly_series_labels": f"""
+            SELECT {SERIES_COLUMNS}, strftime(date, '%b-%y') AS "month"
+            FROM series WHERE jurisdiction IN ('ALBANY', 'ERIE')""",
         "choices_variable": "SELECT DISTINCT variable FROM regions",
         "choices_state": "SELECT DISTINCT state FROM state_rows",
         "choices_industry": "SELECT DISTINCT description FROM industry_share",

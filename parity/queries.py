@@ -177,6 +177,7 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "top_sectors_all": lambda t: sales.top_sectors(
             t.sales, t.sectors, JURISDICTION, SALES_YEAR, pct_of="all"
         ),
+        "sector_descriptions": lambda t: sales.sector_descriptions(t.sales, t.sectors),
         "top_industry_by_county": lambda t: sales.top_industry_by_county(t.sales),
         "top_industry_map": lambda t: t.industry_map,
         "top_industry_map_year": lambda t: maps.one_year_map(t.industry_map, SALES_YEAR),
@@ -215,6 +216,18 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "view_industry_percent": lambda t: views.industry_view(
             sales.industry_share(t.sales), "Department Stores", ["Albany", "Erie"], views.PERCENT
         ),
+        "view_region_labels": lambda t: views.dollar_labels(
+            views.region_view(t.regions, "Tax liability per returnee")
+        ),
+        "view_share_labels": lambda t: views.percent_labels(
+            views.share_view(states.resident_share(t.states))
+        ),
+        "county_ranking_labels": lambda t: views.unit_labels(
+            income.county_ranking(t.counties, YEAR), AGI, "M"
+        ),
+        "quarterly_series_labels": lambda t: views.month_labels(
+            sales.quarterly_series(t.sales, ["ALBANY", "ERIE"])
+        ),
         "choices_variable": lambda t: views.variable_choices(t.regions),
         "choices_state": lambda t: views.state_choices(
             states.state_share_long(t.states, bounded=True)
