@@ -26,10 +26,23 @@ SETTINGS = {
 def session(app: str = "levylens", extra: Mapping[str, str] | None = None) -> SparkSession:
     """The current session, or a new one with SETTINGS and `extra` on top.
 
-    On a cluster give `spark.sql.shuffle.partitions` as an upper bound (bytes shuffled / 128 MB);
-    coalescing lowers it per shuffle.
+    `fit_shuffles` raises the number of shuffle partitions for large inputs.
     """
     builder = SparkSession.builder.appName(app)
     for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def fit_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Raise `spark.sql.shuffle.partitions` so that shuffling the whole input fits the tasks.
+
+    The setting is only ever raised, and small shuffles are coalesced at run time, so a number
+    fit for the largest shuffle of a query does no harm to the others.
+    """
+    needed = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+    if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(needed))

@@ -15,7 +15,10 @@ classes rows; the text rendering and the total rows work on that.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from levylens.constants import DOWNSTATE, MISLABELLED_HAMILTON_AGI_K
 from levylens.sources.reference import inline
@@ -141,21 +144,22 @@ def boundary_names() -> list[tuple]:
 EXTRA_BOUNDARY = (24, "36091", "Saratoga")
 
 
-# Columns read, declared so that planning opens no data file.
-SCHEMAS = {
-    "customer": "c_custkey LONG, c_nationkey INT",
-    "lineitem": "l_partkey LONG, l_suppkey LONG, l_extendedprice DOUBLE, l_discount DOUBLE,"
-    " l_shipdate TIMESTAMP_NTZ",
-    "nation": "n_nationkey INT, n_name STRING",
-    "orders": "o_custkey LONG, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ,"
-    " o_orderpriority STRING",
-    "part": "p_partkey LONG, p_brand STRING, p_type STRING",
-    "supplier": "s_suppkey LONG, s_nationkey INT",
-}
+@lru_cache
+def _stored(spark: SparkSession, path: str) -> tuple[StructType, int]:
+    """Schema (from one file footer) and bytes on disk of a table, looked up once per session."""
+    df = spark.read.parquet(path)
+    size = df._jdf.queryExecution().analyzed().stats().sizeInBytes()
+    return df.schema, int(str(size))
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_stored(spark, path)[0]).parquet(path)
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of the larger of the two tables whose rows are shuffled."""
+    return max(_stored(spark, f"{folder}/{t}.parquet")[1] for t in ("orders", "lineitem"))
 
 
 def _money_text(cents: str, factor: str) -> Column:

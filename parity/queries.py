@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from levylens.constants import AGI, LIABILITY, RETURNS
 from levylens.plans import income, maps, publish, quality, sales, states, views
+from levylens.session import fit_shuffles
 from levylens.sources import order_tables, readers, sinks
 from levylens.sources.reference import state_centers
 
@@ -49,6 +50,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        fit_shuffles(spark, order_tables.stored_bytes(spark, folder))
 
     @property
     def v1(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from levylens import operators as v
 from levylens.plans import income
+from levylens.session import fit_shuffles
 from levylens.sources import order_tables, readers, sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -119,6 +120,26 @@ def test_no_query_forms_all_pairs(spark):
         assert "Python" not in text, name
 
 
+def test_shuffles_fit_the_input(spark, settings):
+    settings(spark__sql__shuffle__partitions="8")
+    fit_shuffles(spark, 10**9)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    fit_shuffles(spark, 10**12)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "7451"
+    fit_shuffles(spark, 10**11)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "7451"
+
+
+def test_facts_of_a_small_dimension_are_not_shuffled(spark, staged):
+    """Only the distinct keys of the facts are."""
+    boundary = readers.counties_of(order_tables.boundaries(spark, FOLDER))
+    df = v.dimension_left_join(boundary, staged)
+    assert df.count() == v.left_join(boundary, staged).count()
+    shuffled = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and all("county" in line and "tax_year" not in line for line in shuffled)
+    assert "SortMergeJoin" not in plan(df)
+
+
 def test_constant_state_table_is_a_local_relation(spark):
     from levylens.sources.reference import state_centers
 
