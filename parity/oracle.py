@@ -14,6 +14,7 @@ from levylens import constants as c
 from levylens.sources import order_tables as o
 from levylens.sources.reference import literal, values
 from parity.queries import JURISDICTION, MEASURE_KEYS, RATE_YEARS, SALES_YEAR, YEAR
+from parity.verbs import VERBS
 
 
 def _list(items: Sequence) -> str:
@@ -627,4 +628,5 @@ def oracle_sql() -> dict[str, str]:
         # The class search adds its own table expressions after the shared ones.
         prefix = _statement("SELECT * FROM year_map").rsplit("\nSELECT", 1)[0]
         statements[name] = prefix + _classes(value)
+    statements.update({name: text for name, (_, text) in VERBS.items()})
     return statements

@@ -17,6 +17,7 @@ from levylens.plans import income, maps, publish, quality, sales, states, views
 from levylens.session import fit_shuffles
 from levylens.sources import order_tables, readers, sinks
 from levylens.sources.reference import state_centers
+from parity.verbs import VERBS, Reader, reader
 
 YEAR = 2000
 SALES_YEAR = "1999 - 2000"
@@ -32,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # last bit of a floating-point sum decides.
 MONEY, EXACT, SUMMED = 4, 6, 2
 _DECIMALS = {
+    "share": 10,
     "value": EXACT, "mean_value": EXACT, "width": EXACT,
     "min": EXACT, "q1": EXACT, "median": EXACT, "q3": EXACT, "max": EXACT,
     "mean": SUMMED, "total": SUMMED,
@@ -261,7 +263,17 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 
 def queries() -> dict[str, Query]:
-    def registered(build: Callable[[Tables], DataFrame]) -> Query:
+    def analysis(build: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: rounded(build(Tables(spark, folder)))
 
-    return {name: registered(build) for name, build in _table_queries().items()}
+    def verb(build: Callable[[Reader], DataFrame]) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            fit_shuffles(spark, order_tables.stored_bytes(spark, folder))
+            return rounded(build(reader(spark, folder)))
+
+        return run
+
+    return {
+        **{name: analysis(build) for name, build in _table_queries().items()},
+        **{name: verb(build) for name, (build, _) in VERBS.items()},
+    }
