@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -11,51 +12,76 @@ from levylens.functions._column import col
 from levylens.operators.joins import null_safe_join
 
 QUARTILES = (0.25, 0.5, 0.75)
-_BINS = 256
+
+# Rank error of the sketch and half-width of a bracket, as fractions of a group; the bracket is
+# four times as wide as the sketch may be wrong. Groups up to SMALL_GROUP values need no bracket.
+_SKETCH_ACCURACY = 20_000
+_HALF_WIDTH = 4 / _SKETCH_ACCURACY
+SMALL_GROUP = 100_000
 
 
 def exact_quantiles(
-    df: DataFrame, measure: str, probs: Sequence[float], by: Sequence[str]
+    df: DataFrame,
+    measure: str,
+    probs: Sequence[float],
+    by: Sequence[str],
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Interpolated quantiles per group as columns q0, q1, ..., ignoring missing values.
 
-    `percentile` keeps every distinct value of a group in one task's memory. Here the values are
-    first counted (a value repeated a billion times becomes one row), then dealt into bins whose
-    edges come from an approximate sketch. Bin counts tell which bins hold the wanted ranks, and
-    only those are sorted. The sketch decides how even the bins are, never the answer.
+    `percentile` keeps every distinct value of a group in one task's memory. Here a first pass
+    brackets each quantile between two values with an approximate sketch. The second pass counts
+    the rows in and between the brackets, within each task first, and keeps the values only
+    inside them: that is all that is shuffled and sorted. The counts then say which value has
+    exactly the wanted rank. Should a rank lie outside its bracket, the query fails.
     """
     keys = [col(k) for k in by]
     value = F.col("_value")
-    counts = (
-        df.where(col(measure).isNotNull())
-        .groupBy(*keys, col(measure).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    values = df.where(col(measure).isNotNull()).select(*keys, col(measure).alias("_value"))
+    points = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-_HALF_WIDTH, _HALF_WIDTH)]
+    brackets = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.percentile_approx(value, points, _SKETCH_ACCURACY).alias("_edges"),
     )
-    # Both uses of `counts` need the same columns, so its shuffle runs once and is read twice.
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / _BINS for i in range(1, _BINS)], 10 * _BINS).alias("_edges"),
-        F.sum("_n").alias("_size"),
+    edges = [F.col("_edges")[i] for i in range(len(points))]
+    lows, highs = edges[::2], edges[1::2]
+    small = F.col("_size") <= small_group
+    inside = reduce(
+        Column.__or__, [value.between(low, high) for low, high in zip(lows, highs, strict=True)]
     )
-    binned = null_safe_join(counts, edges, by, "inner").select(
-        *keys, value, "_n", "_size", F.size(F.filter("_edges", lambda e: e < value)).alias("_bin")
+    steps = [value >= low for low in lows] + [value > high for high in highs]
+    counts = (
+        null_safe_join(values, brackets, by, "inner")
+        .select(
+            *keys,
+            "_size",
+            F.when(small, 0).otherwise(sum(s.cast("int") for s in steps)).alias("_bin"),
+            (small | inside).alias("_kept"),
+            F.when(small | inside, value).alias("_value"),
+        )
+        .groupBy(*keys, "_size", "_bin", "_kept", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
 
-    bins = binned.groupBy(*keys, "_size", "_bin").agg(F.sum("_n").alias("_n"))
+    # Both uses of `counts` take all its rows, so its shuffle runs once and is read twice.
+    bins = counts.groupBy(*keys, "_size", "_bin", "_kept").agg(F.sum("_n").alias("_n"))
     bins = bins.withColumn("_upto", F.sum("_n").over(W.partitionBy(*keys).orderBy("_bin")))
     ranks = F.array_distinct(
         F.flatten(F.array(*[F.array(*_neighbours(p, F.col("_size"))) for p in probs]))
     )
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
     wanted = (
         bins.withColumn("_before", F.col("_upto") - F.col("_n"))
         .withColumn("_rank", F.explode(ranks))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
+        .withColumn("_rank", F.when(F.col("_kept"), F.col("_rank")).otherwise(missed))
         .groupBy(*keys, "_bin", "_before")
         .agg(F.collect_set("_rank").alias("_ranks"))
     )
 
     running = F.sum("_n").over(W.partitionBy(*keys, "_bin").orderBy("_value"))
     picked = (
-        null_safe_join(binned, wanted, [*by, "_bin"], "inner")
+        null_safe_join(counts, wanted, [*by, "_bin"], "inner")
         .withColumn("_to", F.col("_before") + running)
         .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n")))

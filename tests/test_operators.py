@@ -170,14 +170,24 @@ def test_quantiles_match_sorting(skewed):
         assert out[g] == pytest.approx(list(np.quantile(values, probs)))
 
 
-def test_quantiles_with_more_values_than_bins(spark):
-    df = spark.range(20000).selectExpr("id % 2 AS g", "double(id * 7919 % 20011) AS x")
+def test_quantiles_of_large_groups(spark):
+    df = spark.range(400_000).selectExpr("id % 2 AS g", "double(id * 7919 % 400009) AS x")
     out = {r.g: tuple(r)[1:] for r in v.exact_quantiles(df, "x", [0.25, 0.5], ["g"]).collect()}
     for g in (0, 1):
-        values = [i * 7919 % 20011 for i in range(g, 20000, 2)]
+        values = [i * 7919 % 400009 for i in range(g, 400_000, 2)]
+        assert len(values) > v.quantiles.SMALL_GROUP
         assert out[g] == pytest.approx(tuple(np.quantile(values, [0.25, 0.5])))
 
 
+def test_a_missed_bracket_is_an_error(spark):
+    """In a group as small as this the brackets have no slack."""
+    df = spark.createDataFrame([("a", float(x)) for x in range(5)], "g string, x double")
+    exact = v.exact_quantiles(df, "x", [0.3], ["g"]).first()[1]
+    assert exact == pytest.approx(np.quantile(range(5), 0.3))
+    with pytest.raises(Exception, match="outside its bracket"):
+        v.exact_quantiles(df, "x", [0.3], ["g"], small_group=0).collect()
+
+
 def test_summary_verbs(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4)], "k string, x int")
     assert [tuple(r) for r in v.frequency(df, "k").collect()] == [("a", 1), ("b", 2)]
