@@ -3,7 +3,9 @@
 Verbs that need more than one look at their input take `bounded`. With `bounded=True` the caller
 states that the input is an aggregate whose size depends on the number of places, years or
 industries, not on the number of source rows; a window over it is then the cheapest plan. The
-default makes no such assumption: no partition ever holds a whole group or the whole table.
+default makes no such assumption: no partition ever holds a whole group or the whole table. Where
+it needs something per group (totals, limits, brackets), that is worked out in a job of its own,
+stored in the shared folder and joined back, by broadcast if its stored size allows.
 """
 
 from levylens.operators.columns import (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from levylens.functions import sum_strict
 from levylens.functions._column import col
 from levylens.operators.joins import null_safe_join
+from levylens.sources.sinks import staged
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -51,7 +52,7 @@ def exact_quantiles(
     )
     steps = [value >= low for low in lows] + [value > high for high in highs]
     counts = (
-        null_safe_join(values, brackets, by, "inner")
+        null_safe_join(values, staged(brackets, "brackets"), by, "inner")
         .select(
             *keys,
             "_size",

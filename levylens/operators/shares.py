@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 from levylens.functions import ratio, sum0, sum_strict
 from levylens.functions._column import col
 from levylens.operators.joins import null_safe_join
+from levylens.sources.sinks import staged
 
 
 def share(
@@ -16,8 +17,8 @@ def share(
     """Add, for each {new: measure}, the row's share of the measure's total in its group.
 
     A missing measure anywhere in the group makes the group's shares missing. Unless the input is
-    bounded the totals are aggregated and joined back, so a group of any size stays spread over
-    many tasks; a window would bring each whole group (a tax year, say) into one.
+    bounded the totals are aggregated, stored and joined back, so a group of any size stays spread
+    over many tasks; a window would bring each whole group (a tax year, say) into one.
     """
     if bounded:
         window = W.partitionBy(*[col(k) for k in by])
@@ -25,7 +26,7 @@ def share(
     totals = df.groupBy(*[col(k) for k in by]).agg(
         *[sum_strict(m).alias(f"_total_{n}") for n, m in shares.items()]
     )
-    joined = null_safe_join(df, totals, by, "left")
+    joined = null_safe_join(df, staged(totals, "totals"), by, "left")
     return joined.withColumns({n: ratio(m, f"_total_{n}") for n, m in shares.items()}).drop(
         *[f"_total_{n}" for n in shares]
     )

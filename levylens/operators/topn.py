@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levylens.functions._column import col
 from levylens.operators.joins import null_safe_join
+from levylens.sources.sinks import staged
 
 
 def slice_max(
@@ -61,7 +62,7 @@ def _slice(
         .groupBy(*keys)
         .agg(last.alias("_limit"))
     )
-    joined = null_safe_join(present, limits, by, "inner")
+    joined = null_safe_join(present, staged(limits, "limits"), by, "inner")
     return joined.where(reaches(F.col("_limit"))).drop("_limit")
 
 

@@ -16,6 +16,7 @@ from levylens.operators import (
     bind_rows, col_range, mutate, mutate_at, pivot_longer, select_positions,
     semi_join, six_number_summary, slice_max, slice_min, summarise_at,
 )
+from levylens.sources.sinks import staged
 
 V1_AGI_K = "ny_agi_of_all_returns_in_thousands"
 V1_LIABILITY_K = "tax_liability_of_all_returns_in_thousands"
@@ -121,7 +122,8 @@ def county_extremes(
     in_year = F.col("tax_year") == year
     if not bounded:
         chosen = (slice_max if largest else slice_min)(counties.where(in_year), measure, n)
-        return semi_join(counties, chosen.select("county").distinct(), ["county"])
+        names = staged(chosen.select("county").distinct(), "counties")
+        return semi_join(counties, names, ["county"])
     order = F.desc_nulls_last(measure) if largest else F.asc_nulls_last(measure)
     rank = F.rank().over(W.partitionBy("tax_year").orderBy(order))
     picked = in_year & F.col(measure).isNotNull() & (F.col("_rank") <= n)

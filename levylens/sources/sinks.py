@@ -32,9 +32,13 @@ def export_sheets(sheets: Mapping[str, DataFrame], root: str) -> None:
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """The table written to the shared folder and read back, for results that are used twice.
+    """The table written to the shared folder and read back. Runs a job.
 
-    Reading the copy neither repeats the work nor depends on the executors that did it.
+    For results used twice: reading the copy neither repeats the work nor depends on the executors
+    that did it. And for per-group results joined back to the rows they come from: the planner
+    knows the bytes of a stored table, so it broadcasts a small one and leaves the rows where they
+    are. An aggregate it can only take to be as large as its input, and it would start to shuffle
+    the rows before finding out.
     """
     path = shared_folder(df.sparkSession, purpose)
     save_table(df, path)

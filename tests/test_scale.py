@@ -106,9 +106,18 @@ def test_unbounded_plans_gather_no_group(spark, staged):
         df.collect()
 
 
-def test_grouped_top_n_passes_on_n_rows_per_task(staged):
-    text = plan(v.slice_max(staged, "number_of_all_returns", 5, by=["tax_year"]))
-    assert text.count("WindowGroupLimit") >= 2
+def test_rows_are_not_shuffled_to_their_group(staged):
+    """What is joined back per group is broadcast by its known size."""
+    agi, by = "agi_of_all_returns", ["tax_year"]
+    for df in (
+        v.slice_max(staged, agi, 5, by=by),
+        v.share(staged, {"s": agi}, by),
+        income.county_extremes(staged, agi, 2000),
+    ):
+        assert "BroadcastHashJoin" in plan(df) and "Exchange hashpartitioning" not in plan(df)
+    lines = plan(v.exact_quantiles(staged, agi, [0.5], by)).splitlines()
+    below = [b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning" in a]
+    assert below and not any("Scan" in line or "Filter" in line for line in below)
 
 
 def test_no_query_forms_all_pairs(spark):
