@@ -11,7 +11,7 @@ from levylens.constants import (
     STATE_TOTAL_COUNTIES,
 )
 from levylens.functions import (
-    comma, if_else_na, is_in, log10, mean_strict, not_in, paste, ratio, sum0, sum_strict,
+    comma, if_else_na, log10, mean_strict, not_in, paste, sum0, sum_strict,
 )
 from levylens.operators import (
     bind_rows, merge_inner, mutate, pivot_longer, relocate, set_names, share,
