@@ -7,7 +7,10 @@ import time
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem"
+    " events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -34,6 +37,7 @@ def _cell(v):
 
 SPARK_TYPES = {
     "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE",
+    "boolean": "BOOLEAN",
 }
 
 
