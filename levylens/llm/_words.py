@@ -17,7 +17,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -47,6 +47,34 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of text, one row at least."""
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        end = min(max(end, at + 1), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; the spans follow one another and cover `raw`."""
+    out, first = [], 0
+    while first < len(starts):  # in pieces, so that the running sums stay in the cache
+        last = int(np.searchsorted(ends, starts[first] + PIECE_BYTES, side="right"))
+        last = max(last, first + 1)
+        base, stop = starts[first], ends[last - 1]
+        total = np.zeros(stop - base + 1, dtype=np.uint64)
+        letters = raw[base:stop].astype(np.uint64) + _U(1)
+        np.cumsum(letters * _powers(_BASE, stop - base)[: stop - base], out=total[1:])
+        a, b = starts[first:last] - base, ends[first:last] - base
+        sums = (total[b] - total[a]) * _powers(_INVERSE, stop - base)[a]
+        out.append(mixed(sums ^ (b - a).astype(np.uint64)))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
 def _hashed(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of one piece and the byte each starts at; no word crosses a cut."""
     solid = ~_GAP[raw]

@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from levylens.llm._words import buffers, mixed, shingle_sets, shingles, words as word_hashes
+from levylens.llm._words import (
+    buffers, mixed, parts, shingle_sets, shingles, words as word_hashes,
+)
 
 VALUES = 64
 BLOCK_SHINGLES = 1 << 18  # 2 MB of shingles in a broadcast, and 64 values of 12 bytes per item
 _LOW = np.uint32(0xFFFF)
+PART_BYTES = 1 << 22
 _SEED = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _SCALE = _SEED[:VALUES].astype(np.uint32) | np.uint32(1)
 _SHIFT = _SEED[VALUES:].astype(np.uint32)
@@ -134,7 +137,7 @@ def _search(spark, block: Block, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = sent.value
         for batch in batches:
-            for part in _parts(batch):
+            for part in parts(batch, 1, PART_BYTES):
                 rows = []
                 raw, offsets = buffers(part.column(1))
                 sequences = list(shingles(*word_hashes(raw, offsets), size))
@@ -157,16 +160,3 @@ def _search(spark, block: Block, size: int, percent: int):
 
     return run
 
-
-PART_BYTES = 1 << 22
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about PART_BYTES of text, one row at least."""
-    _, offsets = buffers(batch.column(1))
-    at = 0
-    while at < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[at] + PART_BYTES, side="right")) - 1
-        end = min(max(end, at + 1), batch.num_rows)
-        yield batch.slice(at, end - at)
-        at = end

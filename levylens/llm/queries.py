@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from levylens.llm import decontaminate, minhash, pii, sharding, topk, urlfilter
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from levylens.llm import (
+    decontaminate,
+    html,
+    langid,
+    minhash,
+    packing,
+    pii,
+    secrets,
+    sharding,
+    topk,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = (
@@ -23,14 +34,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _number_of(kind: str) -> Column:
+    return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    dealt = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4))
+    held_out = F.coalesce(dealt == 2, F.lit(False))
+    model = langid.train(docs.filter(~held_out))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.identified(texts, model, keep_text=False)
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     out = pii.pseudonymised(docs, PII_KEY, findings_col="findings")
-    counts = [
-        F.size(F.filter("findings", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
-    return out.select("doc_id", "text", *counts)
+    return out.select("doc_id", "text", *[_number_of(kind) for kind in pii.KINDS])
+
+
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    out = html.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +88,23 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(docs, items)
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = secrets.findings(docs, secrets.train(docs))
+
+    def spans(found: Column) -> Column:
+        text = F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+        return F.array_join(text, ",")
+
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.KINDS))
+    return out.select(
+        "doc_id",
+        *[_number_of(kind) for kind in secrets.KINDS],
+        F.sha2(spans(base), 256).alias("base_sha256"),
+        spans(F.col("findings")).alias("spans"),
+    )
+
+
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -61,11 +113,15 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_language,
+            op2_packing,
             op3_pii,
+            op4_main_text,
             op5_sharding,
             op6_url_rules,
             op7_near_duplicates,
             op8_decontamination,
+            op9_secrets,
             op10_top_k,
         )
     }
