@@ -28,7 +28,10 @@ _SSN = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 _NANP = (
     r"(?<![+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 )
-_WORLD = r"(?<![+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9A-Za-z])"
+_WORLD = (
+    r"(?<![+])\+[0-9]{1,3}(?:[ .-][0-9])?(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}"
+    r"(?![0-9A-Za-z])"
+)
 _CARD = (
     r"(?:[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
     r"|[0-9]{13,19})(?![0-9A-Za-z])"
