@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from parity import oracle, queries
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def con():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert QUERIES.keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
