@@ -18,7 +18,8 @@ def percent_text(share: ColumnLike, digits: int = 2) -> Column:
 
 
 def percent_label(share: ColumnLike) -> Column:
-    return F.format_string("%.0f%%", col(share) * 100)
+    """0.125 to "12%", rounding half to even."""
+    return F.format_string("%.0f%%", F.bround(col(share) * 100, 0))
 
 
 def comma(c: ColumnLike, digits: int = 0) -> Column:

@@ -8,19 +8,25 @@ from levylens.functions._column import ColumnLike, col
 
 
 def num(c: ColumnLike) -> Column:
-    """Text to double; anything that is not a number becomes NULL instead of raising.
+    """Text to double; anything that is not a number becomes NULL instead of raising, NaN too.
 
     Spark reads a trailing Java type letter ("1d", "2F") as part of a number; here it is not one.
     """
     text = col(c)
     type_letter = reduce(Column.__or__, [text.endswith(letter) for letter in "dDfF"])
     infinity = text.endswith("nf") | text.endswith("NF")
-    return F.when(type_letter & ~infinity, None).otherwise(text.try_cast("double"))
+    value = text.try_cast("double")
+    hexadecimal = text.rlike(r"^\s*[+-]?0[xX][0-9a-fA-F]{1,13}\s*$")
+    digits = F.conv(F.regexp_extract(text, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("double")
+    sign = F.when(text.contains("-"), -1.0).otherwise(1.0)
+    plain = F.when(type_letter & ~infinity, None).otherwise(F.when(~F.isnan(value), value))
+    return F.when(hexadecimal, sign * digits).otherwise(plain)
 
 
 def whole(c: ColumnLike) -> Column:
-    """Text to integer (years, quarters), NULL when malformed."""
-    return col(c).try_cast("int")
+    """Text to integer (years, quarters), NULL when malformed; "2004.0" is 2004."""
+    value = num(col(c).cast("string"))
+    return F.when(value == F.floor(value), value).try_cast("int")
 
 
 def ratio(a: ColumnLike, b: ColumnLike) -> Column:

@@ -3,51 +3,83 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from levylens.functions._column import ColumnLike, col
+from levylens.functions._column import ColumnLike
+from levylens.functions.aggregates import known
 
-# More than there are counties in the United States.
-MAX_BINS = 4096
+FIRST_BINS, SPLIT = 512, 16
+OPEN_SHARE = 1 / 64
 
 
 def natural_breaks(df: DataFrame, measure: ColumnLike, k: int) -> list[float]:
     """Upper bounds of the k classes with the least squared deviation from their class means.
 
-    Runs a Spark job. The driver receives at most MAX_BINS rows: one per distinct value when
-    there are no more than that (the result is then the exact optimum), otherwise one per
-    quantile bin with its count, sum and largest value.
+    Runs Spark jobs; NULL and NaN are left out. Values are counted in bins, FIRST_BINS of equal
+    width at first, and the best classes made of whole bins are found from the bins' counts and
+    sums. Then every bin next to a break, and every bin whose own squared deviation is more than
+    OPEN_SHARE of all classes', is cut into SPLIT parts and the values are counted again, until a
+    bin next to a break holds one value and no other bin is worth cutting. Any input takes these
+    steps. The driver receives the bins only: the open ones number 2k + 1 / OPEN_SHARE at most.
     """
-    values = (
-        df.select(col(measure).alias("v"))
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    rows = values.limit(MAX_BINS + 1).collect()
-    if len(rows) > MAX_BINS:
-        edges = values.agg(
-            F.percentile_approx("v", [i / MAX_BINS for i in range(1, MAX_BINS)], 10 * MAX_BINS)
-        ).scalar()
-        bins = values.withColumn("edges", edges).withColumn(
-            "b", F.size(F.filter("edges", lambda e: e < F.col("v")))
-        )
-        rows = bins.groupBy("b").agg(
-            F.max("v").alias("v"),
-            F.sum("n").alias("n"),
-            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        ).collect()
-    if not rows:
+    value = known(measure).cast("double").alias("v")
+    values = df.select(value).where(F.col("v").isNotNull() & (F.abs("v") < float("inf")))
+    low, high, mean = values.agg(F.min("v"), F.max("v"), F.avg("v")).first()
+    if low is None:
         return []
-    rows.sort(key=lambda r: r["v"])
-    upper = np.array([r["v"] for r in rows], dtype=float)
-    mean = np.array([r["mean"] if "mean" in r else r["v"] for r in rows], dtype=float)
-    weight = np.array([r["n"] for r in rows], dtype=float)
-    return [float(upper[i]) for i in _optimal_cuts(mean, weight, min(k, len(rows)))]
+    edges = np.unique(np.linspace(low, high, FIRST_BINS + 1)[1:-1])
+    while True:
+        bins = _counted(values, edges, mean)
+        own = bins["spread"]
+        single = bins["low"] == bins["high"]
+        ends = _optimal_cuts(bins["mean"], bins["n"], min(k, len(own)))
+        near = np.zeros(len(own), dtype=bool)
+        near[ends[:-1]] = True
+        near[[e + 1 for e in ends[:-1]]] = True
+        if len(own) < k:
+            near[:] = True
+        total = _deviation_of(bins, ends) + own.sum()
+        cut = ~single & (near | (own > OPEN_SHARE * total))
+        inner = [
+            np.linspace(a, b, SPLIT + 1)[:-1]
+            for a, b in zip(bins["low"][cut], bins["high"][cut], strict=True)
+        ]
+        more = np.unique(np.concatenate([edges, *inner, bins["low"][cut]]))
+        if len(more) == len(edges):
+            return [float(bins["high"][e]) for e in ends]
+        edges = more
+
+
+def _counted(values: DataFrame, edges: np.ndarray, center: float) -> dict[str, np.ndarray]:
+    """Per bin that has values: count, lowest, highest, mean and sum of squared deviations. An
+    edge belongs to the bin on its left."""
+    splits = [-float("inf"), *np.nextafter(edges, np.inf).tolist(), float("inf")]
+    binned = Bucketizer(splits=splits, inputCol="v", outputCol="bin").transform(values)
+    off = F.col("v") - center
+    rows = (
+        binned.groupBy("bin")
+        .agg(F.count("*"), F.min("v"), F.max("v"), F.avg(off), F.var_pop("v") * F.count("*"))
+        .collect()
+    )
+    table = np.array(sorted(tuple(r)[1:] for r in rows), dtype=float)
+    table = table[np.argsort(table[:, 1])]
+    names = ("n", "low", "high", "mean", "spread")
+    return {name: table[:, i] for i, name in enumerate(names)}
+
+
+def _deviation_of(bins: dict[str, np.ndarray], ends: list[int]) -> float:
+    total, start = 0.0, 0
+    for end in ends:
+        x, w = bins["mean"][start : end + 1], bins["n"][start : end + 1]
+        total += float((w * (x - np.average(x, weights=w)) ** 2).sum())
+        start = end + 1
+    return total
 
 
 def _optimal_cuts(x: np.ndarray, w: np.ndarray, k: int) -> list[int]:
-    """Last index of each of k consecutive classes that minimise squared deviation."""
+    """Last index of each of k consecutive classes that minimise squared deviation. What the
+    members of one index deviate from their own mean is the same for all classes."""
     x = x - np.average(x, weights=w)
     zero = np.zeros(1)
     cw, cx, cxx = (np.concatenate([zero, np.cumsum(v)]) for v in (w, w * x, w * x * x))
@@ -76,8 +108,8 @@ def _optimal_cuts(x: np.ndarray, w: np.ndarray, k: int) -> list[int]:
 
 
 def classify(measure: ColumnLike, breaks: list[float]) -> Column:
-    """Class number 1..k by upper bounds; NULL for a missing value."""
-    value = col(measure)
+    """Class number 1..k by upper bounds; NULL for a missing value and for NaN."""
+    value = known(measure)
     if not breaks:
         return F.lit(None).cast("int")
     above = [F.when(value > b, 1).otherwise(0) for b in breaks[:-1]]

@@ -70,10 +70,18 @@ def merge_inner(left: DataFrame, right: DataFrame, by_left: str, by_right: str)
 
 
 def semi_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key occurs in the other table."""
-    return null_safe_join(df, other.select(*[col(k) for k in keys]), keys, "left_semi")
+    """Rows whose key occurs in the other table.
+
+    Equal keys of the other table are combined within each task before they are shuffled, so a
+    key that fills it is one row per task. The same holds for `anti_join`.
+    """
+    return null_safe_join(df, _distinct_keys(other, keys), keys, "left_semi")
 
 
 def anti_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key does not occur in the other table."""
-    return null_safe_join(df, other.select(*[col(k) for k in keys]), keys, "left_anti")
+    return null_safe_join(df, _distinct_keys(other, keys), keys, "left_anti")
+
+
+def _distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[col(k) for k in keys]).distinct()

@@ -24,9 +24,9 @@ def bind_rows(*tables: DataFrame) -> DataFrame:
 
 def intersect_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys present in both tables."""
-    return a.select(col(key)).intersect(b.select(col(key)))
+    return a.select(col(key)).distinct().intersect(b.select(col(key)).distinct())
 
 
 def setdiff_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys of the first table that the second lacks."""
-    return a.select(col(key)).subtract(b.select(col(key)))
+    return a.select(col(key)).distinct().subtract(b.select(col(key)).distinct())

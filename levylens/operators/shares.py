@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import NumericType
 
 from levylens.functions import ratio, sum0, sum_strict
-from levylens.functions._column import col
+from levylens.functions._column import col, unused
 from levylens.operators.joins import null_safe_join
 from levylens.sources.sinks import staged
 
@@ -23,13 +23,13 @@ def share(
     if bounded:
         window = W.partitionBy(*[col(k) for k in by])
         return df.withColumns({n: ratio(m, sum_strict(m, over=window)) for n, m in shares.items()})
+    names = unused([*df.columns, *shares], *[f"total_{i}" for i in range(len(shares))])
     totals = df.groupBy(*[col(k) for k in by]).agg(
-        *[sum_strict(m).alias(f"_total_{n}") for n, m in shares.items()]
+        *[sum_strict(m).alias(t) for t, m in zip(names, shares.values(), strict=True)]
     )
     joined = null_safe_join(df, staged(totals, "totals"), by, "left")
-    return joined.withColumns({n: ratio(m, f"_total_{n}") for n, m in shares.items()}).drop(
-        *[f"_total_{n}" for n in shares]
-    )
+    parts = zip(shares.items(), names, strict=True)
+    return joined.withColumns({n: ratio(m, t) for (n, m), t in parts}).drop(*names)
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -41,27 +41,28 @@ def column_percent(
 ) -> DataFrame:
     """Divide numeric columns by their total over the rows present, ignoring missing values.
 
-    Unless the input is bounded, each total is a scalar subquery: one value computed by a
-    partial/final aggregate, with no join and no window over the whole table.
+    Unless the input is bounded, the totals are one scalar subquery: a row computed by a
+    partial/final aggregate in one scan, with no join and no window over the whole table.
     """
     columns = _numeric(df) if columns is None else list(columns)
-
-    def total(c: str) -> Column:
-        if bounded:
-            return sum0(c, over=W.partitionBy(F.lit(True)))
-        return df.agg(sum0(c)).scalar()
-
-    return df.withColumns({c: ratio(c, total(c)) for c in columns})
+    if bounded:
+        totals = {c: sum0(c, over=W.partitionBy(F.lit(True))) for c in columns}
+    else:
+        named = {c: f"total_{i}" for i, c in enumerate(columns)}
+        row = df.agg(F.struct(*[sum0(c).alias(n) for c, n in named.items()])).scalar()
+        totals = {c: row[n] for c, n in named.items()}
+    return df.withColumns({c: ratio(c, total) for c, total in totals.items()})
 
 
 def totals_row(df: DataFrame, label: str = "Total", fill: str = "-") -> DataFrame:
     """Append a row of column totals: label in the first column, `fill` in other text columns.
 
-    The first column becomes text when it is not, since it has to hold the label.
+    The first column becomes text when it is not, since it has to hold the label. A column of
+    totals has the type of its sum.
     """
     first = df.columns[0]
     numeric = [c for c in _numeric(df) if c != first]
-    sums = df.agg(*[sum0(c).cast(df.schema[c].dataType).alias(c) for c in numeric])
+    sums = df.agg(*[sum0(c).alias(c) for c in numeric])
 
     def cell(name: str) -> Column:
         if name == first:

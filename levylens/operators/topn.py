@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from levylens.functions._column import col
+from levylens.functions._column import col, unused
+from levylens.functions.aggregates import known
 from levylens.operators.joins import null_safe_join
 from levylens.sources.sinks import staged
 
@@ -33,67 +34,33 @@ def _slice(
 ) -> DataFrame:
     """Bounded input: rank within the group. Otherwise: keep what reaches the n-th value.
 
-    A row ranks within n exactly if it reaches the n-th value counted with repeats. Once that
-    value is known the rows are filtered where they are, however many of them tie. The measure is
-    read more than once, so in the unbounded form it must be a value of the row, not a
-    floating-point sum whose last bit may change when recomputed.
+    A row ranks within n exactly if it reaches the n-th value counted with repeats. Each task
+    passes on the n best values of a group, without the other columns; once the n-th is known the
+    rows are filtered where they are, however many of them tie. The measure is read twice, so in
+    the unbounded form it must be a value of the row, not a floating-point sum whose last bit may
+    change when recomputed. NaN counts as missing.
     """
-    present = df.where(col(measure).isNotNull())
-    order = F.desc(measure) if largest else F.asc(measure)
+    value = col(measure)
+    present = df.where(known(value).isNotNull())
+    order = value.desc() if largest else value.asc()
     keys = [col(k) for k in by]
+    row, limit_name = unused(df.columns, "row", "limit")
     if bounded:
         rank = F.rank().over(W.partitionBy(*(keys or [F.lit(True)])).orderBy(order))
-        return present.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+        return present.withColumn(row, rank).where(F.col(row) <= n).drop(row)
 
     def reaches(limit: Column) -> Column:
-        return col(measure) >= limit if largest else col(measure) <= limit
+        return value >= limit if largest else value <= limit
 
+    last = F.min if largest else F.max
     if not by:
-        last = F.min(measure) if largest else F.max(measure)
-        limit = present.select(col(measure)).orderBy(order).limit(n).agg(last)
+        limit = present.select(value).orderBy(order).limit(n).agg(last(value))
         return present.where(reaches(limit.scalar()))
-    limits = _nth_values(present.select(*keys, col(measure)), measure, n, by, largest)
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    best = present.select(*keys, value).withColumn(row, nth).where(F.col(row) <= n)
+    limits = best.groupBy(*keys).agg(last(value).alias(limit_name))
     joined = null_safe_join(present, staged(limits, "limits"), by, "inner")
-    return joined.where(reaches(F.col("_limit"))).drop("_limit")
-
-
-def _nth_values(
-    rows: DataFrame, measure: str, n: int, by: Sequence[str], largest: bool
-) -> DataFrame:
-    """The n-th largest or smallest value of each group as `_limit`, without sorting the rows.
-
-    Rows are dealt into buckets. The n-th best of the buckets' best values belongs to a group
-    with at least n rows that good, so the n-th value of all is no worse. Values that reach this
-    bound are few; they are counted, equal ones together, and the counts tell the n-th.
-    """
-    keys = [col(k) for k in by]
-    best, last = (F.max, F.min) if largest else (F.min, F.max)
-
-    def ranked(c: str) -> WindowSpec:
-        return W.partitionBy(*keys).orderBy(F.desc(c) if largest else F.asc(c))
-
-    bounds = (
-        rows.withColumn("_bucket", F.monotonically_increasing_id() % (16 * n))
-        .groupBy(*keys, "_bucket")
-        .agg(best(measure).alias("_best"))
-        .withColumn("_row", F.row_number().over(ranked("_best")))
-        .where(F.col("_row") <= n)
-        .groupBy(*keys)
-        .agg(last("_best").alias("_bound"), F.count(F.lit(1)).alias("_found"))
-    )
-    value, bound = col(measure), F.col("_bound")
-    reaches = value >= bound if largest else value <= bound
-    return (
-        null_safe_join(rows, staged(bounds, "bounds"), by, "inner")
-        .where(reaches | (F.col("_found") < n))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(ranked(measure)))
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(best(F.when(F.col("_upto") >= n, value)), last(measure)).alias("_limit")
-        )
-    )
+    return joined.where(reaches(F.col(limit_name))).drop(limit_name)
 
 
 def slice_head(
@@ -105,8 +72,9 @@ def slice_head(
     """
     if not by:
         return df.orderBy(*order).limit(n)
+    (name,) = unused(df.columns, "row")
     row = F.row_number().over(W.partitionBy(*[col(k) for k in by]).orderBy(*order))
-    return df.withColumn("_row", row).where(F.col("_row") <= n).drop("_row")
+    return df.withColumn(name, row).where(F.col(name) <= n).drop(name)
 
 
 def arrange_desc(df: DataFrame, measure: str) -> DataFrame:

@@ -9,16 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from levylens.functions import dollar, month_label, percent_label, unit_label
 from levylens.operators import choices
 
-MAX_ITEMS = 6
 PERCENT = "Percent of total revenue"
 
 
-def _picked(items: Sequence[str]) -> Sequence[str]:
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"at most {MAX_ITEMS} items can be picked")
-    return items
-
-
 def region_view(regions: DataFrame, variable: str) -> DataFrame:
     return regions.where(F.col("variable") == variable).orderBy("tax_year", "region")
 
@@ -28,7 +21,7 @@ def share_view(shares: DataFrame) -> DataFrame:
 
 
 def states_view(shares: DataFrame, states: Sequence[str]) -> DataFrame:
-    picked = shares.where(F.col("state").isin(*_picked(states)))
+    picked = shares.where(F.col("state").isin(*states))
     return picked.orderBy("tax_year", "state")
 
 
@@ -39,7 +32,7 @@ def industry_view(
     picked = industry_shares.where(
         (F.col("variable") == variable)
         & (F.col("description") == industry)
-        & F.col("county").isin(*_picked(counties))
+        & F.col("county").isin(*counties)
     )
     return picked.orderBy("sales_tax_year", "county")
 

@@ -25,11 +25,11 @@ if __name__ == "__main__":
     queries, sql = entry.queries(), entry.oracle_sql()
     print("without SQL:", sorted(set(queries) - set(sql)), sorted(set(sql) - set(queries)))
     bad = 0
-    for name in names or queries:
+    for name in names or sql:
         try:
             spent, problem = difference(spark, con, name, queries[name], sql[name], folder)
         except Exception as error:  # report and go on with the other queries
             spent, problem = 0.0, f"{name}: {type(error).__name__} {str(error)[:600]}"
         bad += problem is not None
         print(f"{spent:6.2f}s  {problem or name + ' ok'}", flush=True)
-    print(f"{bad} of {len(names or queries)} differ")
+    print(f"{bad} of {len(names or sql)} differ")

@@ -1,12 +1,15 @@
 import itertools
 import random
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from levylens import operators as v
-from levylens.operators.classes import MAX_BINS, classify, natural_breaks
+from levylens.functions import sum0
+from levylens.operators.classes import classify, natural_breaks
 
 
 def rows(df):
@@ -175,17 +178,38 @@ def test_quantiles_of_large_groups(spark):
     out = {r.g: tuple(r)[1:] for r in v.exact_quantiles(df, "x", [0.25, 0.5], ["g"]).collect()}
     for g in (0, 1):
         values = [i * 7919 % 400009 for i in range(g, 400_000, 2)]
-        assert len(values) > v.quantiles.SMALL_GROUP
         assert out[g] == pytest.approx(tuple(np.quantile(values, [0.25, 0.5])))
 
 
-def test_a_missed_bracket_is_an_error(spark):
-    """In a group as small as this the brackets have no slack."""
-    df = spark.createDataFrame([("a", float(x)) for x in range(5)], "g string, x double")
-    exact = v.exact_quantiles(df, "x", [0.3], ["g"]).first()[1]
-    assert exact == pytest.approx(np.quantile(range(5), 0.3))
-    with pytest.raises(Exception, match="outside its bracket"):
-        v.exact_quantiles(df, "x", [0.3], ["g"], small_group=0).collect()
+def test_a_missed_bracket_is_widened(spark):
+    values = [float(x * x % 1009) for x in range(5000)]
+    df = spark.createDataFrame([("a", x) for x in values], "g string, x double")
+    out = v.exact_quantiles(df, "x", [0.3, 0.9], ["g"], half_width=0.0).first()
+    assert tuple(out)[1:] == pytest.approx(tuple(np.quantile(values, [0.3, 0.9])))
+
+
+def test_nan_is_a_missing_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1), (3.0, 2), (nan, 3), (None, 4)], "x double, _rank int")
+    sums = df.agg(sum0("x").alias("s"), sum0("_rank").alias("n")).first()
+    assert (sums.s, sums.n) == (4.0, 10)
+    for bounded in (True, False):
+        assert rows(v.slice_max(df, "x", 1, bounded=bounded)) == [(3.0, 2)]
+        assert rows(v.slice_min(df, "x", 1, bounded=bounded)) == [(1.0, 1)]
+    assert rows(v.slice_max(df.withColumn("g", F.lit(1)), "x", 1, by=["g"])) == [(3.0, 2, 1)]
+    assert df.select(classify("x", [1.0, 3.0]).alias("c")).collect()[2].c is None
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1.0, "k"), (2.0, "k")], ["a.b", "c.d"])
+    assert rows(v.slice_max(df, "a.b", 1)) == [(2.0, "k")]
+    assert rows(v.slice_max(df, "a.b", 1, by=["c.d"])) == [(2.0, "k")]
+    assert rows(v.slice_min(df, "a.b", 1, bounded=True)) == [(1.0, "k")]
+
+
+def test_large_whole_totals(spark):
+    df = spark.createDataFrame([("a", 9007199254740993), ("b", 0)], "k string, n long")
+    assert v.totals_row(df).collect()[-1].n == 9007199254740993
 
 
 def test_summary_verbs(spark):
@@ -230,12 +254,48 @@ def test_natural_breaks_are_optimal(spark):
 
 
 def test_natural_breaks_of_many_values(spark):
-    """More distinct values than bins: clusters are found to within a bin (three values)."""
-    df = spark.range(3 * MAX_BINS).selectExpr("double(id + 1e6 * (id % 3)) AS x")
+    df = spark.range(12_288).selectExpr("double(id + 1e6 * (id % 3)) AS x")
     breaks = natural_breaks(df, "x", 3)
     counts = df.select(classify("x", breaks).alias("c")).groupBy("c").count().collect()
-    assert sorted(r["c"] for r in counts) == [1, 2, 3]
-    assert all(abs(r["count"] - MAX_BINS) <= 3 for r in counts)
+    assert sorted((r["c"], r["count"]) for r in counts) == [(1, 4096), (2, 4096), (3, 4096)]
+
+
+@pytest.mark.parametrize("n", [4000, 20_000])
+def test_natural_breaks_with_outliers(spark, n):
+    """The classes do not depend on how many values there are."""
+    outliers = [1e9, 1.0001e9, 2e9]
+    df = spark.range(n).selectExpr("double(id) AS x").union(
+        spark.createDataFrame([(x,) for x in outliers], "x double")
+    )
+    values = [*map(float, range(n)), *outliers]
+    breaks = natural_breaks(df, "x", 4)
+    best = min(
+        (_deviation(values, [float(i), n - 1.0, 1.0001e9, 2e9]), [float(i), n - 1.0, 1.0001e9, 2e9])
+        for i in range(0, n - 1)
+    ) if n < 5000 else (0, [9999.0, 19999.0, 1.0001e9, 2e9])
+    other = [n - 1.0, 1e9, 1.0001e9, 2e9]
+    assert breaks == min(best[1], other, key=lambda b: _deviation(values, b))
+
+
+def _deviation(values, breaks):
+    x, total, start = np.sort(np.array(values)), 0.0, 0
+    for b in breaks:
+        end = np.searchsorted(x, b, side="right")
+        total += float(((x[start:end] - x[start:end].mean()) ** 2).sum()) if end > start else 0.0
+        start = end
+    return total
+
+
+def test_natural_breaks_are_the_optimum(spark):
+    rng = np.random.default_rng(5)
+    for k in (2, 3, 5):
+        values = np.round(np.exp(rng.normal(0, 2, 60)), 3)
+        df = spark.createDataFrame([(float(x),) for x in values], "x double")
+        ordered = sorted(set(values.tolist()))
+        cuts = combinations(ordered[:-1], k - 1) if k < 5 else []
+        best = min((_deviation(values, [*c, ordered[-1]]) for c in cuts), default=None)
+        got = _deviation(values, natural_breaks(df, "x", k))
+        assert best is None or got == pytest.approx(best)
 
 
 def test_classify(spark):
