@@ -32,7 +32,8 @@ from levylens.sources.sinks import staged
 
 BANDS, ROWS, STEP = 40, 5, 32
 VALUES = BANDS * ROWS
-TILE = 1024
+TILE = 2048  # members of a tile, and
+TILE_SHINGLES = 1 << 21  # their shingles, on average
 _SEED = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SCALE = (_SEED[:VALUES].astype(np.uint32) | np.uint32(1))[None, :]
 _SHIFT = _SEED[VALUES:].astype(np.uint32)[None, :]
@@ -117,16 +118,21 @@ def _pruned(pairs: DataFrame, classes: DataFrame, fewest: dict[int, int]) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            sets = [
+                [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(i)]
+                for i in (2, 3)
+            ]
+            good = [_similar(x, y, percent) for x, y in zip(*sets, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -135,37 +141,50 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tiled(members: DataFrame, classes: DataFrame, fewest: dict[int, int]) -> DataFrame:
-    """Surviving pairs of members (bucket, band, size, node, component) of different components.
+def _tiled(members: DataFrame, fewest: dict[int, int], percent: int) -> DataFrame:
+    """Links between members (bucket, band, tiles, node, component, sig, shingles) of different
+    components, enough of them to connect all that are linked.
 
-    A bucket is cut into tiles of about TILE members and each pair of tiles is one group. A pair
-    that also shares an earlier band is left to that band's bucket.
+    A bucket is cut into tiles of bounded size and each pair of tiles is one group. A pair that also
+    shares an earlier band is left to that band's bucket. Pairs that survive pruning are verified on
+    their full sets at once, unless links found before have already connected them.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        band = int(group["band"].iloc[0])
+        band, low, high = (int(group[c].iloc[0]) for c in ("band", "low", "high"))
         sigs = np.frombuffer(b"".join(group["sig"]), dtype="<u2").reshape(-1, VALUES)
         node, root, tile = (group[c].to_numpy() for c in ("node", "component", "tile"))
-        same = tile.min() == tile.max() and bool((group["low"] == group["high"]).iloc[0])
-        first = np.flatnonzero(tile == group["low"].iloc[0])
-        second = np.flatnonzero(tile == group["high"].iloc[0])
-        out = []
-        for i in first:
-            other = second[(root[second] != root[i]) & ((node[second] > node[i]) | (not same))]
-            if not len(other):
-                continue
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+        size = np.array([len(x) for x in sets])
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        second = np.flatnonzero(tile == high)
+        links = []
+        for i in np.flatnonzero(tile == low):
+            other = second[root[second] != root[i]]
+            if low == high:
+                other = other[node[other] > node[i]]
+            near = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
+            other = other[near]
             left = np.broadcast_to(sigs[i], (len(other), VALUES))
             other = other[_kept_by_posterior(left, sigs[other], fewest)]
-            shared = (sigs[other] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2)
-            other = other[~shared[:, :band].any(axis=1)]
-            out.append(np.stack([np.full(len(other), node[i]), node[other]], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)})
-
-    tiles = F.ceil(F.col("size") / TILE)
-    own = members.withColumn("tile", F.pmod(F.xxhash64("node"), tiles))
-    own = own.join(classes.select("node", "sig"), "node")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            same = sigs[other] == sigs[i]
+            earlier = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+            order = np.argsort(-same.sum(axis=1), kind="stable")
+            for j in other[order[~earlier[order]]]:
+                a, b = top(int(root[i])), top(int(root[j]))
+                if a != b and _similar(sets[i], sets[j], percent):
+                    above[max(a, b)] = min(a, b)
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    own = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     own = own.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
     return own.groupBy("bucket", "low", "high").applyInPandas(run, "a long, b long")
 
@@ -193,15 +212,11 @@ def near_duplicates(
     fewest = fewest_matches(similarity_percent / 100, miss)
     sketch = staged(sketches(docs, words, id_col, text_col), "sketches")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    rep = F.min(F.struct("doc_id", "sig")).alias("rep")
-    classes = staged(
-        known.groupBy("digest").agg(rep).select("digest", "rep.doc_id", "rep.sig")
-        .withColumnRenamed("doc_id", "node"),
-        "classes",
-    )
+    rep = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "sig")).alias("rep")
+    classes = staged(known.groupBy("digest").agg(rep).select("digest", "rep.*"), "classes")
     nodes = classes
     if not classes.groupBy("node").count().filter("count > 1").isEmpty():  # ids are repeated
-        text = F.min(F.struct("digest", "sig")).alias("text")
+        text = F.min(F.struct("digest", "n_shingles", "sig")).alias("text")
         nodes = staged(classes.groupBy("node").agg(text).select("node", "text.*"), "nodes")
 
     keys = [
@@ -211,10 +226,14 @@ def near_duplicates(
         )
         for k in range(BANDS)
     ]
-    bands = nodes.select("node", F.explode(F.array(*keys)).alias("key")).select("node", "key.*")
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
+    bands = nodes.select("node", "n_shingles", F.explode(F.array(*keys)).alias("key"))
+    bands = bands.select("node", "n_shingles", "key.*")
+    load = F.greatest(F.count("*") / TILE, F.sum("n_shingles") / TILE_SHINGLES)
+    sizes = bands.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("node").alias("pivot"), F.ceil(load).alias("tiles")
+    )
     buckets = staged(sizes.filter("size > 1"), "buckets")
-    members = staged(bands.join(buckets, "bucket"), "members")
+    members = staged(bands.drop("n_shingles").join(buckets, "bucket"), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     shared = staged(members.select("node").distinct(), "shared")
     sets = _sets(texts.join(shared, "node", "left_semi"), words)
@@ -234,8 +253,9 @@ def near_duplicates(
         F.min("component").alias("lowest"), F.max("component").alias("highest")
     )
     several = several.filter("lowest <> highest").select("bucket")
-    open_pairs = _tiled(rooted.join(several, "bucket", "left_semi"), nodes, fewest)
-    more = staged(_linked(open_pairs, sets, similarity_percent), "links")
+    rest = rooted.join(several, "bucket", "left_semi")
+    rest = rest.join(nodes.select("node", "sig"), "node").join(sets.select("node", "shingles"), "node")
+    more = staged(_tiled(rest, fewest, similarity_percent), "links")
     if not more.isEmpty():
         roots = staged(components(links.unionByName(more)), "components")
 
