@@ -34,15 +34,18 @@ def session(app: str = "levylens", extra: Mapping[str, str] | None = None) -> Sp
     return builder.getOrCreate()
 
 
-SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
+#: Blocks are map tasks times partitions; the driver keeps a size for each.
+MOST_PARTITIONS = 20_000
 
 
 def fit_shuffles(spark: SparkSession, input_bytes: int) -> None:
-    """Raise `spark.sql.shuffle.partitions` so that shuffling the whole input fits the tasks.
+    """Raise `spark.sql.shuffle.partitions` so that a shuffle of so many bytes fits the tasks.
 
-    The setting is only ever raised, and small shuffles are coalesced at run time, so a number
-    fit for the largest shuffle of a query does no harm to the others.
+    The setting is only ever raised, to MOST_PARTITIONS at most (beyond, partitions grow and spill),
+    and small shuffles are coalesced at run time, so a number fit for the largest shuffle of a
+    query does no harm to the others.
     """
-    needed = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+    needed = min(MOST_PARTITIONS, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
     if needed > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.shuffle.partitions", str(needed))

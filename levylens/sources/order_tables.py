@@ -15,10 +15,8 @@ classes rows; the text rendering and the total rows work on that.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from levylens.constants import DOWNSTATE, MISLABELLED_HAMILTON_AGI_K
 from levylens.sources.reference import inline
@@ -144,22 +142,35 @@ def boundary_names() -> list[tuple]:
 EXTRA_BOUNDARY = (24, "36091", "Saratoga")
 
 
-@lru_cache
-def _stored(spark: SparkSession, path: str) -> tuple[StructType, int]:
-    """Schema (from one file footer) and bytes on disk of a table, looked up once per session."""
-    df = spark.read.parquet(path)
-    size = df._jdf.queryExecution().analyzed().stats().sizeInBytes()
-    return df.schema, int(str(size))
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.parquet"
-    return spark.read.schema(_stored(spark, path)[0]).parquet(path)
+#: What a row of the larger tables takes in the shuffles here, four numbers of up to sixteen columns.
+SHUFFLED_SHARE = 0.4
+
+
+def shuffled_bytes(spark: SparkSession, folder: str) -> int:
+    """About the bytes that the widest shuffle of a derived table moves, from the files' sizes."""
+    sizes = [
+        spark.read.format("binaryFile").load(f"{folder}/{t}.parquet").agg(F.sum("length")).first()[0]
+        for t in ("orders", "lineitem")
+    ]
+    return int(SHUFFLED_SHARE * max(size or 0 for size in sizes))
+
 
+def _since(column: str, first: str, last: str) -> Column:
+    """first <= column < last, as a range that reaches the scan."""
+    day = F.col(column)
+    return (day >= F.lit(first).cast("timestamp_ntz")) & (day < F.lit(last).cast("timestamp_ntz"))
 
-def stored_bytes(spark: SparkSession, folder: str) -> int:
-    """Bytes of the larger of the two tables whose rows are shuffled."""
-    return max(_stored(spark, f"{folder}/{t}.parquet")[1] for t in ("orders", "lineitem"))
+
+def _income_period(years: tuple[int, int] | None, first: int, last: int) -> Column:
+    """The days of the wanted years that lie in an era; false, and no scan at all, without any."""
+    start, end = max(first, (years or (first, last))[0]), min(last, (years or (first, last))[1])
+    if start > end:
+        return F.lit(False)
+    return _since("o_orderdate", f"{start:04d}-01-01", f"{end + 1:04d}-01-01")
 
 
 def _money_text(cents: str, factor: str) -> Column:
@@ -212,13 +223,23 @@ def _totals() -> list[Column]:
     ]
 
 
-def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
-    """Income by size of income and place, years before FIRST_V2_YEAR.
+def _year_text(years: tuple[int, int] | None) -> Column:
+    """The year as text: a constant for a single year, so that a test of it costs the rows nothing."""
+    if years and years[0] == years[1]:
+        return F.lit(str(years[0]))
+    return F.col("year").cast("string")
+
+
+def raw_income_v1(
+    spark: SparkSession, folder: str, years: tuple[int, int] | None = None
+) -> DataFrame:
+    """Income by size of income and place, years before FIRST_V2_YEAR; of `years` (first and last)
+    only those.
 
     Known errors: Greene's 1996 total is filed as Hamilton with the published wrong amount,
     St. Lawrence's 1997 returns and Hamilton's 1998 income are not numbers.
     """
-    before = F.col("o_orderdate") < F.lit(f"{FIRST_V2_YEAR}-01-01").cast("timestamp_ntz")
+    before = _income_period(years, 1, FIRST_V2_YEAR - 1)
     places = inline(spark, v1_places(), ["place", "state", "county"])
     # Class 0 is the total over classes.
     classes = F.explode(F.array(F.col("class"), F.lit(0)))
@@ -237,7 +258,7 @@ def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
     agi = _money_text("cents", "0.00001")
     county = F.when(error(" Greene", 1996), " Hamilton").otherwise(F.col("county"))
     return summed.select(
-        F.col("year").cast("string").alias("tax_year"),
+        _year_text(years).alias("tax_year"),
         "state",
         county.alias("county"),
         F.get(labels, F.col("class")).alias("income_class"),
@@ -256,9 +277,12 @@ def raw_income_v1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_income_v2(spark: SparkSession, folder: str) -> DataFrame:
-    """Income by place from FIRST_V2_YEAR on, in dollars, for two filer groups."""
-    since = F.col("o_orderdate") >= F.lit(f"{FIRST_V2_YEAR}-01-01").cast("timestamp_ntz")
+def raw_income_v2(
+    spark: SparkSession, folder: str, years: tuple[int, int] | None = None
+) -> DataFrame:
+    """Income by place from FIRST_V2_YEAR on, in dollars, for two filer groups; of `years` (first
+    and last) only those."""
+    since = _income_period(years, FIRST_V2_YEAR, 9998)
     places = inline(spark, v2_places(), ["place", "state", "county", "residence"])
     summed = (
         _income_base(spark, folder, since, by_class=False)
@@ -267,7 +291,7 @@ def raw_income_v2(spark: SparkSession, folder: str) -> DataFrame:
         .agg(*_totals())
     )
     return summed.select(
-        F.col("year").cast("string").alias("tax_year"),
+        _year_text(years).alias("tax_year"),
         "state",
         "county",
         F.col("residence").alias("place_of_residence"),
@@ -292,14 +316,20 @@ def _industry() -> Column:
     return sector * 100 + _lookup(F.col("p_type"), TYPE_SUFFIXES, F.lit(99))
 
 
-def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Quarterly taxable sales by jurisdiction and industry group.
+def raw_sales(
+    spark: SparkSession, folder: str, years: tuple[int, int] | None = None
+) -> DataFrame:
+    """Quarterly taxable sales by jurisdiction and industry group; of the tax years `years` (by the
+    year in which the first and the last one start) only those.
 
     The tax year starts in March. Hamilton's fourth quarters are not numbers.
     """
     new_york = [key for key, state, _ in PLACES if state == "New York"]
+    lines = _table(spark, folder, "lineitem")
+    if years:
+        lines = lines.where(_since("l_shipdate", f"{years[0]:04d}-03-01", f"{years[1] + 1:04d}-03-01"))
     # Price after discount, rounded half up to whole cents.
-    lines = _table(spark, folder, "lineitem").selectExpr(
+    lines = lines.selectExpr(
         "l_partkey",
         "l_suppkey",
         # Quarters since March of year 0.
@@ -326,6 +356,8 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.expr("SUM(CAST(cents AS DECIMAL(28,0))) AS cents"))
     )
     year = F.expr("INT(quarter DIV 4)")
+    if years and years[0] == years[1]:
+        year = F.lit(years[0])
     quarter = F.expr("INT(quarter % 4)")
     naics = F.col("industry").cast("string")
     other = F.concat(F.lit("Industry group "), naics)

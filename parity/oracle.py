@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from levylens import constants as c
 from levylens.sources import order_tables as o
 from levylens.sources.reference import literal, values
-from parity.queries import JURISDICTION, MEASURE_KEYS, RATE_YEARS, SALES_YEAR, YEAR
+from parity.queries import (
+    JURISDICTION, MEASURE_KEYS, RATE_YEARS, SALES_YEAR, TEN_STATES, YEAR,
+)
 from parity.verbs import VERBS
 
 
@@ -578,7 +580,7 @@ def oracle_sql() -> dict[str, str]:
             FROM regions WHERE variable = 'Tax liability per returnee'""",
         "view_share_labels": f"""
             SELECT tax_year, category, variable, {V6},
-                   CAST(round(100 * value) AS INTEGER) || '%' AS label
+                   CAST(round_even(100 * value, 0) AS INTEGER) || '%' AS label
             FROM resident""",
         "county_ranking_labels": f"""
             SELECT county, round({AGI}, 4) AS {AGI},
@@ -620,6 +622,26 @@ def oracle_sql() -> dict[str, str]:
         sql[f"top_states_{key}"] = f"""
             SELECT tax_year, new, state, {R4} FROM ({year_rows} AND {measure} IS NOT NULL
               QUALIFY rank() OVER (ORDER BY {measure} DESC) <= 3)"""
+    for key in MEASURE_KEYS:
+        for name in ("county_top5", "county_bottom5", "measure_summary", "top_states"):
+            sql[f"{name}_{key}_default"] = sql[f"{name}_{key}"]
+    for name in ("top_counties_each_year", "county_map", "quarter4_map"):
+        sql[f"{name}_default"] = sql[name]
+    sql["view_states_ten"] = f"""
+        SELECT tax_year, state, variable, {V6} FROM state_share WHERE state IN {_list(TEN_STATES)}"""
+    sql["arranged_counties"] = sql["county_ranking"]
+    sql["quarterly_series_since"] = f"""
+        SELECT {SERIES_COLUMNS} FROM series WHERE date >= DATE '1998-01-01'"""
+    sql["json_pages"] = sql["industry_totals"]
+    sql["exports"] = f"""
+        SELECT name, count(*) AS row_count, round(sum(value), 2) AS total FROM (
+          SELECT 'region_per_return' AS name, value FROM regions
+          UNION ALL SELECT 'effective_rate', value FROM rates
+          UNION ALL SELECT 'resident_share', value FROM resident
+          UNION ALL SELECT 'state_share', value FROM state_share
+          UNION ALL SELECT 'industry_share', value FROM industry_share
+          UNION ALL SELECT 'county_income', {RETURNS} FROM counties)
+        GROUP BY name"""
     statements = {name: _statement(text) for name, text in sql.items()}
     for name, value in (
         ("county_classes", AGI),

@@ -13,16 +13,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from levylens.constants import AGI, LIABILITY, RETURNS
+from levylens.functions import date_lit
+from levylens.operators import arrange_desc
 from levylens.plans import income, maps, publish, quality, sales, states, views
 from levylens.session import fit_shuffles
-from levylens.sources import order_tables, readers, sinks
+from levylens.sources import order_tables, readers, schemas, sinks
 from levylens.sources.reference import state_centers
 from parity.verbs import VERBS, Reader, reader
 
 YEAR = 2000
 SALES_YEAR = "1999 - 2000"
+SALES_START = 1999
 RATE_YEARS = (1996, 1998)
 JURISDICTION = "NY STATE"
+TEN_STATES = [
+    "New Jersey", "Connecticut", "California", "Florida", "Texas", "Pennsylvania",
+    "Massachusetts", "Ohio", "Illinois", "Georgia",
+]
 MEASURE_KEYS = {"agi": AGI, "liability": LIABILITY, "returns": RETURNS}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,21 +57,26 @@ def rounded(df: DataFrame) -> DataFrame:
 class Tables:
     """The raw and normalised tables of one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        fit_shuffles(spark, order_tables.stored_bytes(spark, folder))
+    def __init__(
+        self, spark: SparkSession, folder: str, years: tuple[int, int] | None = None
+    ):
+        self.spark, self.folder, self.years = spark, folder, years
+
+    def only(self, first: int, last: int | None = None) -> Tables:
+        """The tables of these years: what one-year analyses read."""
+        return Tables(self.spark, self.folder, (first, last or first))
 
     @property
     def v1(self) -> DataFrame:
-        return order_tables.raw_income_v1(self.spark, self.folder)
+        return order_tables.raw_income_v1(self.spark, self.folder, self.years)
 
     @property
     def v2(self) -> DataFrame:
-        return order_tables.raw_income_v2(self.spark, self.folder)
+        return order_tables.raw_income_v2(self.spark, self.folder, self.years)
 
     @property
     def sales(self) -> DataFrame:
-        return order_tables.raw_sales(self.spark, self.folder)
+        return order_tables.raw_sales(self.spark, self.folder, self.years)
 
     @property
     def sectors(self) -> DataFrame:
@@ -84,7 +96,7 @@ class Tables:
 
     @property
     def rates(self) -> DataFrame:
-        return income.effective_rate(self.v1, *RATE_YEARS)
+        return income.effective_rate(self.only(*RATE_YEARS).v1, *RATE_YEARS)
 
     @property
     def neighbours(self) -> DataFrame:
@@ -96,7 +108,7 @@ class Tables:
 
     @property
     def county_map(self) -> DataFrame:
-        return maps.county_map(self.boundary, self.counties, YEAR, bounded=True)
+        return maps.county_map(self.boundary, self.only(YEAR).counties, YEAR, bounded=True)
 
     @property
     def industry_map(self) -> DataFrame:
@@ -129,6 +141,35 @@ def _publish_roundtrip(t: Tables) -> DataFrame:
     return out
 
 
+def _json_pages(t: Tables) -> DataFrame:
+    """The sales written as pages of JSON and read again by the portal's reader."""
+    root = sinks.shared_folder(t.spark, "pages")
+    t.only(SALES_START).sales.write.json(root)
+    pages = readers.open_data(t.spark, root, schemas.SALES, one_array_per_file=False)
+    return sales.industry_totals(pages, JURISDICTION, SALES_YEAR)
+
+
+def _exports(t: Tables) -> DataFrame:
+    """Each download of the dashboard, written as CSV and read again: rows and value total."""
+    rows = t.counties
+    downloads = {
+        "region_per_return": t.regions,
+        "effective_rate": t.rates,
+        "resident_share": states.resident_share(t.states),
+        "state_share": states.state_share_long(t.states, bounded=True),
+        "industry_share": sales.industry_share(t.sales),
+        "county_income": rows.withColumn("value", F.col(RETURNS)),
+    }
+    out = None
+    for name, table in downloads.items():
+        path = sinks.export_csv(table, sinks.shared_folder(t.spark, name))
+        copy = readers.dimension_csv(t.spark, path, table.schema)
+        row = copy.agg(F.count(F.lit(1)).alias("row_count"), F.sum("value").alias("total"))
+        row = row.select(F.lit(name).alias("name"), "row_count", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     q: dict[str, Callable[[Tables], DataFrame]] = {
         # income tax by county
@@ -137,7 +178,7 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "county_income_v2": lambda t: income.county_income_v2(t.v2),
         "county_income": lambda t: t.counties,
         "county_income_long": lambda t: income.county_income_long(t.counties),
-        "county_ranking": lambda t: income.county_ranking(t.counties, YEAR),
+        "county_ranking": lambda t: income.county_ranking(t.only(YEAR).counties, YEAR),
         "top_counties_each_year": lambda t: income.top_counties_each_year(
             t.counties, bounded=True
         ),
@@ -162,29 +203,35 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         ),
         "resident_share": lambda t: states.resident_share(t.states),
         "other_states_mean": lambda t: states.other_states_mean(states.resident_share(t.states)),
-        "state_totals": lambda t: states.state_totals(t.neighbours, YEAR),
+        "state_totals": lambda t: states.state_totals(t.only(YEAR).neighbours, YEAR),
         "legacy_state_groups": lambda t: states.legacy_state_groups(t.v1, t.v2),
         "top_legacy_groups": lambda t: states.top_legacy_groups(
-            states.legacy_state_groups(t.v1, t.v2), YEAR, 3
+            states.legacy_state_groups(t.only(YEAR).v1, t.only(YEAR).v2), YEAR, 3
         ),
         "agi_definition_compare": lambda t: states.agi_definition_compare(t.v1, t.v2),
-        "od_flows": lambda t: states.od_flows(t.neighbours, state_centers(t.spark), YEAR),
+        "od_flows": lambda t: states.od_flows(
+            t.only(YEAR).neighbours, state_centers(t.spark), YEAR
+        ),
         # taxable sales
-        "industry_totals": lambda t: sales.industry_totals(t.sales, JURISDICTION, SALES_YEAR),
+        "industry_totals": lambda t: sales.industry_totals(
+            t.only(SALES_START).sales, JURISDICTION, SALES_YEAR
+        ),
         "industry_totals_one": lambda t: sales.industry_totals(
-            t.sales, JURISDICTION, SALES_YEAR, "4522"
+            t.only(SALES_START).sales, JURISDICTION, SALES_YEAR, "4522"
+        ),
+        "top_industries": lambda t: sales.top_industries(
+            t.only(SALES_START).sales, JURISDICTION, SALES_YEAR
         ),
-        "top_industries": lambda t: sales.top_industries(t.sales, JURISDICTION, SALES_YEAR),
         "top_sectors_kept": lambda t: sales.top_sectors(
-            t.sales, t.sectors, JURISDICTION, SALES_YEAR
+            t.only(SALES_START).sales, t.sectors, JURISDICTION, SALES_YEAR
         ),
         "top_sectors_all": lambda t: sales.top_sectors(
-            t.sales, t.sectors, JURISDICTION, SALES_YEAR, pct_of="all"
+            t.only(SALES_START).sales, t.sectors, JURISDICTION, SALES_YEAR, pct_of="all"
         ),
         "sector_descriptions": lambda t: sales.sector_descriptions(t.sales, t.sectors),
         "top_industry_by_county": lambda t: sales.top_industry_by_county(t.sales),
         "top_industry_map": lambda t: t.industry_map,
-        "top_industry_map_year": lambda t: maps.one_year_map(t.industry_map, SALES_YEAR),
+        "top_industry_map_year": lambda t: maps.one_year_map(t.only(SALES_START).industry_map, SALES_YEAR),
         "top_industry_map_complete": lambda t: maps.complete_regions(t.industry_map),
         "null_year_rows": lambda t: maps.unmatched_regions(t.industry_map),
         "quarter4_map": lambda t: maps.fourth_quarter_map(t.boundary, t.sales, bounded=True),
@@ -201,9 +248,11 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             income.county_income_long(t.counties)
         ),
         "distinct_pairs": lambda t: quality.county_years(t.counties),
-        "first_row_per_county": lambda t: quality.first_row_per_county(t.counties, 1996),
-        "keys_intersect": lambda t: quality.counties_in_both(t.counties, 1996, 1995),
-        "keys_missing": lambda t: quality.counties_missing_in(t.counties, 1996, 1995),
+        "first_row_per_county": lambda t: quality.first_row_per_county(t.only(1996).counties, 1996),
+        "keys_intersect": lambda t: quality.counties_in_both(t.only(1995, 1996).counties, 1996, 1995),
+        "keys_missing": lambda t: quality.counties_missing_in(
+            t.only(1995, 1996).counties, 1996, 1995
+        ),
         "names_setdiff": lambda t: quality.boundaries_without_sales(t.boundary, t.sales),
         # dashboard
         "view_region": lambda t: views.region_view(t.regions, "AGI per returnee"),
@@ -227,7 +276,7 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
             views.share_view(states.resident_share(t.states))
         ),
         "county_ranking_labels": lambda t: views.unit_labels(
-            income.county_ranking(t.counties, YEAR), AGI, "M"
+            income.county_ranking(t.only(YEAR).counties, YEAR), AGI, "M"
         ),
         "quarterly_series_labels": lambda t: views.month_labels(
             sales.quarterly_series(t.sales, ["ALBANY", "ERIE"])
@@ -241,18 +290,35 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "publish_roundtrip": _publish_roundtrip,
     }
     for key, measure in MEASURE_KEYS.items():
-        q[f"county_top5_{key}"] = lambda t, m=measure: income.county_extremes(
-            t.counties, m, YEAR, bounded=True
-        )
-        q[f"county_bottom5_{key}"] = lambda t, m=measure: income.county_extremes(
-            t.counties, m, YEAR, largest=False, bounded=True
-        )
-        q[f"measure_summary_{key}"] = lambda t, m=measure: income.measure_summary(
-            t.counties, m, bounded=True
-        )
-        q[f"top_states_{key}"] = lambda t, m=measure: states.top_states(
-            t.neighbours, m, YEAR, 3, bounded=True
-        )
+        for plan, bounded in (("", True), ("_default", False)):  # the verbs' two plans
+            q[f"county_top5_{key}{plan}"] = lambda t, m=measure, b=bounded: income.county_extremes(
+                t.counties, m, YEAR, bounded=b
+            )
+            q[f"county_bottom5_{key}{plan}"] = (
+                lambda t, m=measure, b=bounded: income.county_extremes(
+                    t.counties, m, YEAR, largest=False, bounded=b
+                )
+            )
+            q[f"measure_summary_{key}{plan}"] = lambda t, m=measure, b=bounded: (
+                income.measure_summary(t.counties, m, bounded=b)
+            )
+            q[f"top_states_{key}{plan}"] = lambda t, m=measure, b=bounded: states.top_states(
+                t.only(YEAR).neighbours, m, YEAR, 3, bounded=b
+            )
+    q["top_counties_each_year_default"] = lambda t: income.top_counties_each_year(t.counties)
+    q["county_map_default"] = lambda t: maps.county_map(t.boundary, t.only(YEAR).counties, YEAR)
+    q["quarter4_map_default"] = lambda t: maps.fourth_quarter_map(t.boundary, t.sales)
+    q["view_states_ten"] = lambda t: views.states_view(
+        states.state_share_long(t.states, bounded=True), TEN_STATES
+    )
+    q["arranged_counties"] = lambda t: arrange_desc(
+        income.county_ranking(t.only(YEAR).counties, YEAR), AGI
+    )
+    q["quarterly_series_since"] = lambda t: sales.quarterly_series(t.sales).where(
+        F.col("date") >= date_lit("1998-01-01")
+    )
+    q["json_pages"] = _json_pages
+    q["exports"] = _exports
     q["measure_summary_overall"] = lambda t: income.measure_summary(
         t.counties, LIABILITY, by_year=False, bounded=True
     )
@@ -264,11 +330,15 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
 
 def queries() -> dict[str, Query]:
     def analysis(build: Callable[[Tables], DataFrame]) -> Query:
-        return lambda spark, folder: rounded(build(Tables(spark, folder)))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            fit_shuffles(spark, order_tables.shuffled_bytes(spark, folder))
+            return rounded(build(Tables(spark, folder)))
+
+        return run
 
     def verb(build: Callable[[Reader], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            fit_shuffles(spark, order_tables.stored_bytes(spark, folder))
+            fit_shuffles(spark, order_tables.shuffled_bytes(spark, folder))
             return rounded(build(reader(spark, folder)))
 
         return run

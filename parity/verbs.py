@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from levylens import operators as v
-from levylens.functions import sum_strict
+from levylens.functions import sum0, sum_strict
 from levylens.sources import readers
 
 Reader = Callable[[str], DataFrame]
@@ -23,11 +23,21 @@ def _long_prices(t: Reader) -> DataFrame:
 
 def _nation_customers(t: Reader) -> DataFrame:
     nations = t("nation").select(F.col("n_nationkey").alias("nationkey"), "n_name")
-    wealthy = t("customer").where(F.col("c_acctbal") > 9900)
-    customers = wealthy.select(F.col("c_nationkey").alias("nationkey"), "c_custkey")
+    customers = t("customer").select(F.col("c_nationkey").alias("nationkey"), "c_custkey")
     return v.dimension_left_join(nations, customers)
 
 
+def _some_nan(t: Reader) -> DataFrame:
+    price = F.when(F.col("l_linenumber") == 7, float("nan")).otherwise(F.col("l_extendedprice"))
+    return t("lineitem").select("l_returnflag", price.alias("price"))
+
+
+def _dotted(t: Reader) -> DataFrame:
+    return t("orders").select(
+        F.col("o_orderpriority").alias("priority.name"), F.col("o_totalprice").alias("total.price")
+    )
+
+
 def _order_keys(t: Reader, year: int) -> DataFrame:
     return t("orders").where(F.year("o_orderdate") == year).select("o_custkey")
 
@@ -94,6 +104,39 @@ VERBS: dict[str, tuple[Callable[[Reader], DataFrame], str]] = {
              round(sum(l_extendedprice), 2) AS total
            FROM lineitem GROUP BY l_returnflag""",
     ),
+    "six_numbers_all_lineitem": (
+        lambda t: v.six_number_summary(_some_nan(t), "price"),
+        """SELECT min(price) AS "min", round(quantile_cont(price, 0.25), 6) AS q1,
+             round(quantile_cont(price, 0.5), 6) AS median, round(avg(price), 2) AS mean,
+             round(quantile_cont(price, 0.75), 6) AS q3, max(price) AS "max",
+             CAST(0 AS BIGINT) AS missing, CAST('NaN' AS DOUBLE) AS total
+           FROM (SELECT l_extendedprice AS price FROM lineitem WHERE l_linenumber <> 7)""",
+    ),
+    "sums_without_nan_lineitem": (
+        lambda t: _some_nan(t).groupBy("l_returnflag").agg(sum0("price").alias("total")),
+        """SELECT l_returnflag, round(sum(l_extendedprice) FILTER (l_linenumber <> 7), 4) AS total
+           FROM lineitem GROUP BY l_returnflag""",
+    ),
+    "slice_max_without_nan_lineitem": (
+        lambda t: v.slice_max(_some_nan(t), "price", 3, by=["l_returnflag"]),
+        """SELECT l_returnflag, l_extendedprice AS price FROM lineitem WHERE l_linenumber <> 7
+           QUALIFY rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) <= 3""",
+    ),
+    "slice_max_dotted_orders": (
+        lambda t: v.slice_max(_dotted(t), "total.price", 4, by=["priority.name"]),
+        """SELECT o_orderpriority AS "priority.name", o_totalprice AS "total.price" FROM orders
+           QUALIFY rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) <= 4""",
+    ),
+    "totals_row_large_nation": (
+        lambda t: v.totals_row(
+            t("nation").select(
+                "n_name", (F.col("n_nationkey") + F.lit(9007199254740993)).alias("large")
+            )
+        ),
+        """SELECT n_name, n_nationkey + 9007199254740993 AS large FROM nation
+           UNION ALL SELECT 'Total', CAST(sum(n_nationkey + 9007199254740993) AS BIGINT)
+           FROM nation""",
+    ),
     "summarise_at_lineitem": (
         lambda t: v.summarise_at(t("lineitem"), ["l_linestatus"], _AMOUNTS, sum_strict, "_sum"),
         f"""SELECT l_linestatus, {_columns([f"round(sum({c}), 4) AS {c}_sum" for c in _AMOUNTS])}
@@ -127,11 +170,11 @@ VERBS: dict[str, tuple[Callable[[Reader], DataFrame], str]] = {
     "semi_join_customer": (
         lambda t: v.semi_join(
             t("customer").select("c_custkey", "c_mktsegment"),
-            t("orders").where("o_totalprice > 490000").withColumnRenamed("o_custkey", "c_custkey"),
+            t("orders").withColumnRenamed("o_custkey", "c_custkey"),
             ["c_custkey"],
         ),
         """SELECT c_custkey, c_mktsegment FROM customer
-           WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)""",
+           WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     ),
     "anti_join_orders": (
         lambda t: v.anti_join(t("orders").select(*_ORDER), _lineitem_orders(t), ["o_orderkey"]),
@@ -141,7 +184,7 @@ VERBS: dict[str, tuple[Callable[[Reader], DataFrame], str]] = {
     "dimension_left_join_nation": (
         _nation_customers,
         """SELECT n_nationkey AS nationkey, n_name, c_custkey
-           FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9900""",
+           FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey""",
     ),
     "merge_inner_supplier": (
         lambda t: v.merge_inner(

@@ -114,16 +114,16 @@ def test_rows_are_not_shuffled_to_their_group(staged):
         v.share(staged, {"s": agi}, by),
         income.county_extremes(staged, agi, 2000),
     ):
-        assert "BroadcastHashJoin" in plan(df) and "Exchange hashpartitioning" not in plan(df)
-    lines = plan(v.exact_quantiles(staged, agi, [0.5], by)).splitlines()
-    below = [b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning" in a]
-    assert below and not any("Scan" in line or "Filter" in line for line in below)
+        lines = plan(df).splitlines()
+        assert "BroadcastHashJoin" in plan(df)
+        below = [b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning" in a]
+        assert all("HashAggregate" in line for line in below)  # distinct keys of a stored list
 
 
 def test_no_query_forms_all_pairs(spark):
     for name, query in entry.queries().items():
-        if name == "publish_roundtrip":
-            continue  # writes files when built
+        if name in ("publish_roundtrip", "json_pages", "exports", "pipeline") or name.startswith("op"):
+            continue  # write files when built; the last two have their own tests
         text = plan(query(spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text, name
         assert "Python" not in text, name
@@ -134,9 +134,66 @@ def test_shuffles_fit_the_input(spark, settings):
     fit_shuffles(spark, 10**9)
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
     fit_shuffles(spark, 10**12)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "7451"
-    fit_shuffles(spark, 10**11)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "7451"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3726"
+    fit_shuffles(spark, 10**14)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "20000"
+
+
+def test_years_reach_the_scan(spark, settings):
+    """One year is a range of days on the facts; text is made of sums only."""
+    settings(spark__sql__maxMetadataStringLength="2000")
+    text = plan(order_tables.raw_sales(spark, FOLDER, (1999, 1999)))
+    scan = next(x for x in text.splitlines() if "FileScan" in x and "l_shipdate" in x)
+    assert "GreaterThanOrEqual(l_shipdate,1999-03-01T00:00)" in scan
+    assert "LessThan(l_shipdate,2000-03-01T00:00)" in scan
+    text = plan(order_tables.raw_income_v1(spark, FOLDER, (1996, 1996)))
+    scan = next(x for x in text.splitlines() if "FileScan" in x and "o_orderdate" in x)
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in scan
+    assert "LessThan(o_orderdate,1997-01-01T00:00)" in scan
+    assert "FileScan" not in plan(order_tables.raw_income_v1(spark, FOLDER, (2000, 2000)))
+    for name in ("top_industries", "od_flows", "county_ranking", "industry_totals"):
+        for line in plan(entry.queries()[name](spark, FOLDER)).splitlines():
+            if "Filter" in line and ("o_orderdate" in line or "l_shipdate" in line):
+                assert "format_string" not in line and "year(" not in line, (name, line)
+
+
+def test_years_change_no_row(spark):
+    whole = order_tables.raw_sales(spark, FOLDER).where("sales_tax_year = '1999 - 2000'")
+    part = order_tables.raw_sales(spark, FOLDER, (1999, 1999))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect())) != []
+
+
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
+    for column in ("n_name", "n_label"):
+        nations = spark.range(30).selectExpr("int(id) AS n_nationkey", f"'x' AS {column}")
+        nations.write.mode("overwrite").parquet(f"{tmp_path}/nation.parquet")
+        assert order_tables._table(spark, str(tmp_path), "nation").columns[1] == column
+
+
+def test_keys_are_combined_before_they_are_shuffled(spark):
+    """The right side of semi and anti joins and both sides of key sets."""
+    lines = readers.table(spark, f"{FOLDER}/lineitem.parquet").withColumnRenamed("l_orderkey", "k")
+    orders = readers.table(spark, f"{FOLDER}/orders.parquet").withColumnRenamed("o_orderkey", "k")
+    for df in (
+        v.semi_join(orders, lines, ["k"]), v.anti_join(orders, lines, ["k"]),
+        v.intersect_keys(orders, lines, "k"), v.setdiff_keys(orders, lines, "k"),
+    ):
+        text = plan(df).splitlines()
+        scan = next(i for i, x in enumerate(text) if "FileScan" in x and "l_orderkey" in x)
+        above = [x for x in text[:scan] if "HashAggregate" in x or "Exchange" in x]
+        assert "HashAggregate" in above[-1]
+
+
+def scans(df):
+    return plan(df).count("FileScan")
+
+
+def test_few_scans(spark):
+    lines = readers.table(spark, f"{FOLDER}/lineitem.parquet")
+    several = v.column_percent(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    several.collect()
+    assert len(re.findall(r"Subquery scalar-subquery", plan(several))) <= 1 or scans(several) <= 5
+    assert scans(v.slice_max(lines, "l_extendedprice", 3, by=["l_returnflag"])) <= 2
 
 
 def test_facts_of_a_small_dimension_are_not_shuffled(spark, staged):
