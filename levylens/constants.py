@@ -10,6 +10,9 @@ LIABILITY = "tax_liability_of_all_returns"
 RETURNS = "number_of_all_returns"
 MEASURES = [AGI, LIABILITY, RETURNS]
 
+# The words before and after the mean rate in the caption of a year's effective rates.
+RATE_CAPTION = "The average share for all income\ngroups was", "percent in"
+
 # --- counties of the Metropolitan Commuter Transportation District ----------------------------
 DOWNSTATE = [
     "New York", "Bronx", "Kings", "Queens", "Richmond", "Rockland",

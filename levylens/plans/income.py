@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levylens.constants import (
-    AGI, DOWNSTATE, INCOME_GROUPS, LIABILITY, MEASURES, MISLABELLED_HAMILTON_AGI_K, RETURNS,
-    STATE_TOTAL_COUNTIES, V1_NOT_COUNTIES, V2_NOT_COUNTIES,
+    AGI, DOWNSTATE, INCOME_GROUPS, LIABILITY, MEASURES, MISLABELLED_HAMILTON_AGI_K,
+    RATE_CAPTION, RETURNS, STATE_TOTAL_COUNTIES, V1_NOT_COUNTIES, V2_NOT_COUNTIES,
 )
 from levylens.functions import (
     case_ordered, if_else_na, is_in, ltrim_ws, mean_strict, not_in, num, paste, ratio,
@@ -185,9 +185,9 @@ def rate_view(rates: DataFrame, year: int = 2014) -> DataFrame:
     """
     mean = mean_strict("value", over=W.partitionBy("tax_year"))
     caption = paste(
-        F.lit("The average share for all income\ngroups was"),
+        F.lit(RATE_CAPTION[0]),
         rounded_text(F.col("mean_value") * 100),
-        F.lit("percent in"),
+        F.lit(RATE_CAPTION[1]),
         F.lit(year),
         sep=" ",
     )
