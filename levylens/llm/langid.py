@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from levylens.llm._words import parts
 from levylens.sources.sinks import staged
 
 SYMBOLS = 256
@@ -36,6 +37,7 @@ MIN_SHARE = 1e-6
 CALIBRATION_TEXTS = 4000  # expected number of calibration texts
 REJECT_SHARE = 0.001
 PART_CHARS = 1 << 19
+PART_BYTES = 1 << 22
 _DISCOUNT = 0.75
 _DOUBLES = pa.list_(pa.float64())
 
@@ -102,7 +104,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): how often four symbols occur in the texts of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 1, PART_BYTES)):
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             texts = batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
@@ -336,7 +338,7 @@ def train(
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 1, PART_BYTES)):
             means, n = sent.value.scored(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(n), pa.array(means.tolist(), _DOUBLES)]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "means"])
@@ -355,7 +357,8 @@ def identified(
     text_col: str = "text",
     keep_text: bool = True,
 ) -> DataFrame:
-    """`docs` with the columns lang_pred, score and rejected (replacing any of these names).
+    """`docs` with the columns lang_pred, score and rejected (replacing any of these names), the
+    text in front of them.
 
     Only the text is looked at, all of it. lang_pred is `und` with score 0 where the text is null
     or has no letter, or there is no model; such rows are rejected, and so are texts unlike those
@@ -366,11 +369,11 @@ def identified(
     others = [c for c in docs.columns if c.lower() not in new and c != text_col]
     kept = [*others, text_col] if keep_text and text_col.lower() not in new else others
     text = F.col(f"`{text_col}`").cast("string")
-    flat = docs.select(*[F.col(f"`{c}`") for c in kept], text, letters(text))
-    flat = flat.toDF(*[str(i) for i in range(len(kept) + 2)])  # names may clash but for case
+    flat = docs.select(*[F.col(f"`{c}`") for c in others], text, letters(text))
+    flat = flat.toDF(*[str(i) for i in range(len(others) + 2)])  # names may clash but for case
     schema = StructType(
         [
-            *(StructField(f"{i}", docs.schema[c].dataType) for i, c in enumerate(kept)),
+            *flat.schema.fields[: len(kept)],
             StructField("lang_pred", StringType()),
             StructField("score", DoubleType()),
             StructField("rejected", BooleanType()),
@@ -380,14 +383,15 @@ def identified(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
-            good = np.array(batch.column(batch.num_columns - 1).to_pylist(), dtype=bool)
+        place = len(others)
+        for batch in (p for b in batches for p in parts(b, place, PART_BYTES)):
+            good = np.array(batch.column(place + 1).to_pylist(), dtype=bool)
             good &= model is not None
             lang = np.full(len(good), "und", dtype=object)
             score, rejected = np.zeros(len(good)), np.ones(len(good), dtype=bool)
             at = np.flatnonzero(good)
             if len(at):
-                texts = batch.column(batch.num_columns - 2).take(pa.array(at)).to_pylist()
+                texts = batch.column(place).take(pa.array(at)).to_pylist()
                 best, score[at], rejected[at] = model.judged(texts)
                 lang[at] = np.array(model.langs, dtype=object)[best]
             columns = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]

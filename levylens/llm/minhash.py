@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from levylens.llm._graph import components
-from levylens.llm._words import mixed, shingle_sets
+from levylens.llm._words import mixed, parts, shingle_sets
 from levylens.sources.sinks import staged
 
 BANDS, ROWS, STEP = 40, 5, 32
 VALUES = BANDS * ROWS
+PART_BYTES = 1 << 22
 TILE = 2048  # members of a tile, and
 TILE_SHINGLES = 1 << 21  # their shingles, on average
 _SEED = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -65,15 +66,16 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     """(doc_id, n_shingles, digest, sig) per row; digest and sig are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        names = ["doc_id", "n_shingles", "digest", "sig"]
+        for part in (p for batch in batches for p in parts(batch, 1, PART_BYTES)):
             sizes, digests, sigs = [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(part.column(1), words):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64())]
+            columns = [part.column(0), pa.array(sizes, pa.int64())]
             columns += [pa.array(x, pa.binary()) for x in (digests, sigs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
@@ -81,10 +83,10 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
+        for part in (p for batch in batches for p in parts(batch, 1, PART_BYTES)):
+            sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            columns = [batch.column(0), *(pa.array(x, pa.binary()) for x in (digests, sets))]
+            columns = [part.column(0), *(pa.array(x, pa.binary()) for x in (digests, sets))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "shingles"])
 
     return docs.mapInArrow(run, "node long, digest binary, shingles binary")
