@@ -16,11 +16,7 @@ def num(c: ColumnLike) -> Column:
     type_letter = reduce(Column.__or__, [text.endswith(letter) for letter in "dDfF"])
     infinity = text.endswith("nf") | text.endswith("NF")
     value = text.try_cast("double")
-    hexadecimal = text.rlike(r"^\s*[+-]?0[xX][0-9a-fA-F]{1,13}\s*$")
-    digits = F.conv(F.regexp_extract(text, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("double")
-    sign = F.when(text.contains("-"), -1.0).otherwise(1.0)
-    plain = F.when(type_letter & ~infinity, None).otherwise(F.when(~F.isnan(value), value))
-    return F.when(hexadecimal, sign * digits).otherwise(plain)
+    return F.when(~(type_letter & ~infinity) & ~F.isnan(value), value)
 
 
 def whole(c: ColumnLike) -> Column:
