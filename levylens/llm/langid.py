@@ -10,11 +10,13 @@ The models lie side by side in sorted arrays of keys with one column of log prob
 language. A text is scored in whole: its score for a language is the mean log probability of its
 symbols, and the language with the lowest cross-entropy wins.
 
-Calibration uses a bounded sample of labelled texts. The temperature that turns mean log
-probabilities into the winner's probability maximises its likelihood, and a text is rejected when
-its cross-entropy lies further above its language's mean than that of all but `reject_share` of
-the calibration texts, in standard deviations that allow for the text's length, and twice as far
-to spare.
+Calibration uses a bounded sample of labelled texts, each as it is and cut to shorter lengths. The
+temperature that turns mean log probabilities into the winner's probability maximises its
+likelihood, and a text is rejected when its cross-entropy lies further above its language's than
+that of all but `reject_share` of the calibration texts of its length, in deviations that allow
+for the text's length. That tail is carried on from quantiles with several texts beyond them, and
+only texts predicted as labelled count, so that a few odd texts do not move it. Stretches in another
+of the labelled languages are measured by that language, so texts in two of them stay.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ GAP, EDGE = 0, 1  # anything between letters; the start of a text
 MIN_SHARE = 1e-6
 CALIBRATION_TEXTS = 4000  # expected number of calibration texts
 REJECT_SHARE = 0.001
+SIZES = 16 * 3 ** np.arange(6)  # lengths that rejection is calibrated for; between them it is interpolated
+ENOUGH = 300  # with fewer calibration texts of a language and length those of all languages count
+ENOUGH_WHOLE = 50
+PIECE = 64  # symbols of a stretch that is in one language
+BEYOND = 5  # calibration texts beyond the quantiles that the tail is carried on from
 PART_CHARS = 1 << 19
 PART_BYTES = 1 << 22
 _DISCOUNT = 0.75
@@ -142,7 +149,7 @@ class Model:
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None  # variance between texts, variance of one symbol
-    limit: np.ndarray | None = None
+    limit: np.ndarray | None = None  # per language and length of SIZES
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Per key of four symbols the log probability of the last one, a column per language."""
@@ -169,37 +176,57 @@ class Model:
             out[missing] = lower + np.where(same[:, None], self.weights[order][at], 0)
         return out
 
-    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log probability per text and language, and the number of symbols of each text."""
+    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the mean log probability by language, the number of symbols, and, with each
+        stretch of PIECE symbols in the language that fits it best, the mean log probability and
+        each language's share."""
         sums = np.zeros((len(texts), len(self.langs)))
         sizes = np.zeros(len(texts), dtype=np.int64)
+        fits, shares = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
         for index, part in _parts(texts):
             symbols, starts = _symbols(part)
             n = np.diff(starts) - 3
             np.add.at(sizes, index, n)
             if n.any():
                 logs = self.log_probabilities(_keys(symbols))
-                cuts = np.stack([starts[:-1], starts[:-1] + n], axis=1)[n > 0].ravel()
+                pieces = np.maximum(n // PIECE, 1) * (n > 0)  # the last one of a text takes the rest
+                owner = np.repeat(np.arange(len(n)), pieces)
+                place = np.arange(len(owner)) - np.repeat(pieces.cumsum() - pieces, pieces)
+                first = starts[owner] + place * PIECE
+                last = np.where(place == pieces[owner] - 1, starts[owner] + n[owner], first + PIECE)
+                cuts = np.stack([first, last], axis=1).ravel()
                 cuts = cuts[:-1] if cuts[-1] == len(logs) else cuts
                 total = np.add.reduceat(logs, cuts, axis=0, dtype=np.float64)[::2]
-                np.add.at(sums, np.array(index)[n > 0], total)
-        return sums / np.maximum(sizes, 1)[:, None], sizes
+                owner = np.array(index)[owner]
+                np.add.at(sums, owner, total)
+                np.add.at(fits, owner, total.max(axis=1))
+                np.add.at(shares, (owner, total.argmax(axis=1)), last - first)
+        each = np.maximum(sizes, 1)
+        return sums / each[:, None], sizes, fits / each, shares / each[:, None]
 
     def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text the best language's index, its probability, whether it is rejected."""
-        means, n = self.scored(texts)
+        means, n, fits, shares = self.scored(texts)
         best = means.argmax(axis=1)
-        shares = np.exp((means - means.max(axis=1, keepdims=True)) * self.temperature)
-        score = 1 / shares.sum(axis=1)
+        odds = np.exp((means - means.max(axis=1, keepdims=True)) * self.temperature)
+        score = 1 / odds.sum(axis=1)
         if self.mean is None:
             return best, score, n < 1
-        return best, score, (self.excess(means, n, best) > self.limit[best]) | (n < 1)
-
-    def excess(self, means: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """How far a text's cross-entropy lies above its language's, in standard deviations."""
-        own = -means[np.arange(len(best)), best]
+        return best, score, (self.excess(fits, shares, n, best) > self.limits(n, best)) | (n < 1)
+
+    def limits(self, n: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """The excess from which texts of so many symbols are rejected."""
+        at = np.interp(np.log(np.maximum(n, 1)), np.log(SIZES), np.arange(len(SIZES)))
+        low = np.minimum(at.astype(int), len(SIZES) - 2)
+        a, b = self.limit[best, low], self.limit[best, low + 1]
+        return a + (b - a) * (at - low)
+
+    def excess(
+        self, fits: np.ndarray, shares: np.ndarray, n: np.ndarray, best: np.ndarray
+    ) -> np.ndarray:
+        """How far a text's cross-entropy lies above its languages', in standard deviations."""
         between, within = self.spread[best].T
-        return (own - self.mean[best]) / np.sqrt(between + within / np.maximum(n, 1))
+        return (-fits - shares @ self.mean) / np.sqrt(between + within / np.maximum(n, 1))
 
 
 def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -267,12 +294,17 @@ def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def calibrate(
-    model: Model, means: np.ndarray, n: np.ndarray, langs: list[str], reject_share: float
+    model: Model,
+    scores: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
+    langs: list[str],
+    whole: np.ndarray,
+    reject_share: float,
 ) -> None:
-    """Set temperature and rejection limits from the scores of labelled texts."""
+    """Set temperature and rejection limits from the scores of labelled texts, some of them whole."""
+    means, n, fits, shares = scores
     own = np.array([model.langs.index(x) if x in model.langs else -1 for x in langs], dtype=int)
     use = (own >= 0) & (n > 0)
-    means, n, own = means[use], n[use], own[use]
+    means, n, fits, shares, whole, own = (x[use] for x in (means, n, fits, shares, whole, own))
     if not len(own):
         return
     gap = means - means.max(axis=1, keepdims=True)
@@ -285,20 +317,53 @@ def calibrate(
     size = len(model.langs)
     model.mean, model.spread = np.zeros(size), np.ones((size, 2))
     best = means.argmax(axis=1)
+    good = best == own
     h = -means[np.arange(len(own)), best]
     for i in range(size):
-        mine = best == i
+        mine = good & (best == i)
         if mine.any():
-            model.mean[i] = np.average(h[mine], weights=n[mine])
+            model.mean[i] = _middle(h[mine], n[mine])
             off = (h[mine] - model.mean[i]) ** 2
             within = max(float(np.median(off * n[mine])) * 2.2, 0.1)  # median of chi2(1) is 0.455
             long = n[mine] >= np.median(n[mine])
-            model.spread[i] = max(float(off[long].mean()), 1e-3), within
-    model.limit = np.full(size, math.inf)
-    excess = model.excess(means, n, best)
-    for i in range(size):
-        if (best == i).any():
-            model.limit[i] = 2 * max(float(np.quantile(excess[best == i], 1 - reject_share)), 4.5)
+            model.spread[i] = max(float(np.median(off[long])) * 2.2, 1e-3), within
+    excess = model.excess(fits, shares, n, best)
+    classes = np.abs(np.log(n)[:, None] - np.log(SIZES)).argmin(axis=1)
+    model.limit = np.full((size, len(SIZES)), np.nan)
+    for c in range(len(SIZES)):
+        every = good & (classes == c)
+        for i in range(size):
+            mine = every & (best == i)
+            mine = mine if mine.sum() >= ENOUGH else every
+            if mine.any():
+                model.limit[i, c] = _tail(excess[mine], reject_share)
+        if (every & whole).sum() >= ENOUGH_WHOLE:  # short texts may differ from parts of long ones
+            model.limit[:, c] = np.fmax(model.limit[:, c], _tail(excess[every & whole], reject_share))
+    for row in model.limit:
+        known = np.flatnonzero(~np.isnan(row))
+        row[:] = np.interp(np.arange(len(row)), known, row[known]) if len(known) else math.inf
+
+
+def _middle(values: np.ndarray, weights: np.ndarray) -> float:
+    """The weighted median."""
+    order = values.argsort()
+    sums = weights[order].cumsum()
+    return float(values[order[np.searchsorted(sums, sums[-1] / 2)]])
+
+
+def _tail(values: np.ndarray, share: float) -> float:
+    """What all but `share` of the values lie below, by an exponential tail through two quantiles
+    with at least BEYOND values above them (fewer only if there are less than ten times as many)."""
+    near = min(max(BEYOND / len(values), 0.02), 0.1)
+    far = min(10 * near, 0.5)
+    a, b = np.quantile(values, [1 - far, 1 - near])
+    return float(b + (b - a) * max(math.log(near / share), 0) / math.log(far / near))
+
+
+def _cuts(text: str) -> list[str]:
+    """The text, and the middle of it at each shorter length of SIZES."""
+    shorter = [int(s) for s in SIZES if s < len(text)]
+    return [text, *(text[(len(text) - s) // 2 :][:s] for s in shorter)]
 
 
 def train(
@@ -339,15 +404,21 @@ def train(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b, 1, PART_BYTES)):
-            means, n = sent.value.scored(batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array(n), pa.array(means.tolist(), _DOUBLES)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "means"])
+            texts = [_cuts(text) for text in batch.column(1).to_pylist()]
+            scores = sent.value.scored([cut for cuts in texts for cut in cuts])
+            langs = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), [len(x) for x in texts])))
+            whole = pa.array([k == 0 for cuts in texts for k in range(len(cuts))])
+            means, n, fits, shares = (pa.array(x.tolist()) for x in scores)
+            columns = [langs, whole, means.cast(_DOUBLES), n, fits, shares.cast(_DOUBLES)]
+            names = ["lang", "whole", "means", "n", "fits", "shares"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     sample = own.filter(held).select("lang", "text")
-    rows = sample.mapInArrow(score, "lang string, n long, means array<double>").collect()
+    schema = "lang string, whole boolean, means array<double>, n long, fits double, shares array<double>"
+    rows = sample.mapInArrow(score, schema).collect()
     if rows:
-        langs, n, means = zip(*rows, strict=True)
-        calibrate(model, np.array(means), np.array(n), list(langs), reject_share)
+        langs, whole, *scores = zip(*rows, strict=True)
+        calibrate(model, tuple(map(np.array, scores)), list(langs), np.array(whole), reject_share)
     return model
 
 

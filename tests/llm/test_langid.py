@@ -67,3 +67,30 @@ def test_counts_are_those_of_all_texts(spark):
         bytes([1, a, b, c]): 1,
     }
     assert sum(own["fr"].values()) == 4
+
+
+@pytest.mark.parametrize("left_out", ["de", "en"])
+def test_a_language_left_out_is_rejected_at_any_length(spark, left_out):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.train(docs.filter(f"lang <> '{left_out}' and doc_id % 3 <> 0"))
+    rows = docs.filter("doc_id % 3 = 0").select("lang", "text").collect()
+    for size in (40, 100, 300):
+        cut = [(r.lang, r.text[(len(r.text) - size) // 2 :][:size]) for r in rows if len(r.text) >= size]
+        rejected = model.judged([text for _, text in cut])[2]
+        other = np.array([lang == left_out for lang, _ in cut])
+        assert rejected[other].mean() > 0.8, size
+        assert rejected[~other].mean() < 0.05, size
+
+
+def test_a_few_odd_texts_do_not_move_the_limit():
+    values = np.random.default_rng(3).normal(size=400)
+    odd = np.concatenate([values, [40.0, 60.0, 80.0]])
+    assert abs(langid._tail(odd, 0.001) - langid._tail(values, 0.001)) < 0.5
+
+
+def test_a_text_in_two_labelled_languages_is_not_rejected(spark, model):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id % 3 = 0 and length(text) > 600").collect()
+    of = {x: [r.text[:300] for r in rows if r.lang == x] for x in ("de", "fr")}
+    both = [a + " " + b for a, b in zip(of["de"], of["fr"])]
+    assert len(both) >= 10
+    assert model.judged(both)[2].mean() < 0.2
