@@ -2,9 +2,9 @@
 
 One model of order 4 per language is counted over all training texts. Text is reduced to runs of
 letters in lower case; a letter is one of 256 symbols (the Latin ones keep their own, others are
-hashed), so four symbols are a 32-bit key. The counts of four symbols are summed in Spark; those
-with at least `min_share` of a language's total make up its model, at most 1 / min_share of them
-whatever the size of the corpus. Lower orders count in how many different contexts they occur.
+hashed), so four symbols are a 32-bit key. The counts of four symbols are summed in Spark and all of
+them make up a language's model. Lower orders count in how many different contexts they occur, also
+in Spark, and each order has the discount that its own counts of one and two call for.
 
 The models lie side by side in sorted arrays of keys with one column of log probabilities per
 language. A text is scored in whole: its score for a language is the mean log probability of its
@@ -35,7 +35,6 @@ from levylens.sources.sinks import staged
 
 SYMBOLS = 256
 GAP, EDGE = 0, 1  # anything between letters; the start of a text
-MIN_SHARE = 1e-6
 CALIBRATION_TEXTS = 4000  # expected number of calibration texts
 REJECT_SHARE = 0.001
 SIZES = 16 * 3 ** np.arange(6)  # lengths that rejection is calibrated for; between them it is interpolated
@@ -45,7 +44,7 @@ PIECE = 64  # symbols of a stretch that is in one language
 BEYOND = 5  # calibration texts beyond the quantiles that the tail is carried on from
 PART_CHARS = 1 << 19
 PART_BYTES = 1 << 22
-_DISCOUNT = 0.75
+_DISCOUNT = 0.75  # where an order has no counts of one or two to tell
 _DOUBLES = pa.list_(pa.float64())
 
 
@@ -134,6 +133,24 @@ def counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def orders(grams: DataFrame) -> DataFrame:
+    """(lang, level, gram, n) of all orders, of the counts of four symbols: how often these occur, and
+    in how many different contexts three, two and one do."""
+    out = level = grams.select("lang", F.lit(4).alias("level"), "gram", "n")
+    for order in (3, 2, 1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+        level = level.groupBy("lang", shorter).agg(F.count("*").alias("n"))
+        level = level.select("lang", F.lit(order).alias("level"), "gram", "n")
+        out = out.unionByName(level)
+    return out
+
+
+def _discount(n: np.ndarray) -> float:
+    """What absolute discounting takes off each count, by the counts of one and two."""
+    once, twice = int((n == 1).sum()), int((n == 2).sum())
+    return once / (once + 2 * twice) if once and twice else _DISCOUNT
+
+
 @dataclass
 class Model:
     """Log probabilities of all languages: dense for one and two symbols, in sorted arrays of keys
@@ -229,23 +246,19 @@ class Model:
         return (-fits - shares @ self.mean) / np.sqrt(between + within / np.maximum(n, 1))
 
 
-def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The models of {lang: (keys of four symbols, counts)} by interpolated Kneser-Ney."""
+def fitted(grams: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """The models of {lang: {order: (sorted keys, counts)}} by interpolated Kneser-Ney."""
     langs = sorted(grams)
     tables = {3: [], 4: []}
     ones, twos = [], []
     for lang in langs:
-        keys, n = grams[lang]
-        levels = {4: (keys.astype(np.uint32), n.astype(np.float64))}
-        for order in (3, 2, 1):  # in how many contexts does the shorter one occur?
-            above = levels[order + 1][0]
-            shorter = np.unique(above & np.uint32((1 << 8 * order) - 1), return_counts=True)
-            levels[order] = shorter[0], shorter[1].astype(np.float64)
+        levels = {k: (x.astype(np.uint32), n.astype(np.float64)) for k, (x, n) in grams[lang].items()}
         one = np.full(SYMBOLS, 1 / SYMBOLS)
         known, n1 = levels[1]
         total = n1.sum()
-        one *= _DISCOUNT * len(known) / total
-        one[known] += (n1 - _DISCOUNT) / total
+        discount = _discount(n1)
+        one *= discount * len(known) / total
+        one[known] += (n1 - discount) / total
         ones.append(np.log(one))
         lower = {1: (np.arange(SYMBOLS, dtype=np.uint32), one)}
         weight_of = {}
@@ -255,11 +268,12 @@ def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
                 known >> np.uint32(8), return_inverse=True, return_counts=True
             )
             total = np.bincount(where, weights=n)
-            weight = _DISCOUNT * kinds / total
+            discount = _discount(n)
+            weight = discount * kinds / total
             shorter = known & np.uint32((1 << 8 * (order - 1)) - 1)
             before = lower[order - 1]
             p = before[1][np.searchsorted(before[0], shorter)]
-            p = (n - _DISCOUNT) / total[where] + weight[where] * p
+            p = (n - discount) / total[where] + weight[where] * p
             lower[order] = known, p
             weight_of[order] = context, weight
         two = np.tile(one, SYMBOLS).reshape(SYMBOLS, SYMBOLS)
@@ -371,7 +385,6 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    min_share: float = MIN_SHARE,
     calibration_texts: int = CALIBRATION_TEXTS,
     reject_share: float = REJECT_SHARE,
 ) -> Model | None:
@@ -379,7 +392,7 @@ def train(
 
     The rows are counted but for those held back to calibrate: about `calibration_texts` of them,
     a quarter at most, dealt by a hash of the id. They are scored where they are. The driver
-    receives at most 1 / min_share grams per language and the scores of the calibration texts.
+    receives the different grams of each language and the scores of the calibration texts.
     """
     own = docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -389,17 +402,13 @@ def train(
     step = max(4, math.ceil(own.count() / calibration_texts))
     held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(step)) == 0
     every = staged(counts(own.filter(~held)), "grams")
-    total = staged(every.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    kept = every.join(total, "lang").filter(F.col("n") >= F.col("total") * min_share)
-    found = kept.select("lang", "gram", "n").toPandas()
+    found = orders(every).orderBy("lang", "level", "gram").toPandas()
     if not len(found):
         return None
-    model = fitted(
-        {
-            lang: (g["gram"].to_numpy(), g["n"].to_numpy())
-            for lang, g in found.sort_values("gram").groupby("lang")
-        }
-    )
+    grams: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for (lang, level), g in found.groupby(["lang", "level"]):
+        grams.setdefault(lang, {})[level] = g["gram"].to_numpy(), g["n"].to_numpy()
+    model = fitted(grams)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

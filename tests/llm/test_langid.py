@@ -94,3 +94,21 @@ def test_a_text_in_two_labelled_languages_is_not_rejected(spark, model):
     both = [a + " " + b for a, b in zip(of["de"], of["fr"])]
     assert len(both) >= 10
     assert model.judged(both)[2].mean() < 0.2
+
+
+def test_rare_sequences_stay_in_the_model(spark):
+    rows = [(i, "abcd " * 6000, "en") for i in range(400)] + [(400 + i, "wxyz", "en") for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    key = 24 << 24 | 25 << 16 | 26 << 8 | 27
+    assert key in model.keys[4].tolist()
+
+
+def test_lower_orders_count_contexts(spark):
+    rows = [("en", 0x02030405, 9), ("en", 0x06030405, 1), ("en", 0x02070405, 2), ("fr", 0x02030405, 1)]
+    out = langid.orders(spark.createDataFrame(rows, "lang string, gram long, n long")).collect()
+    got = {(r.lang, r.level, r.gram): r.n for r in out}
+    assert got == {
+        ("en", 4, 0x02030405): 9, ("en", 4, 0x06030405): 1, ("en", 4, 0x02070405): 2,
+        ("en", 3, 0x030405): 2, ("en", 3, 0x070405): 1, ("en", 2, 0x0405): 2, ("en", 1, 0x05): 1,
+        ("fr", 4, 0x02030405): 1, ("fr", 3, 0x030405): 1, ("fr", 2, 0x0405): 1, ("fr", 1, 0x05): 1,
+    }
