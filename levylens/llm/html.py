@@ -8,7 +8,8 @@ host is bounded by that share.
 
 Some furniture differs from page to page and is known by its markup: navigation, page headers and
 footers, sidebars, forms, scripts and styles by their elements, and adverts, notices, reader
-comments and the like by role, class or id. Where a page says what its article is (`article`,
+comments and the like by role, class or id. A name that only contains such a word, and a form, are
+no furniture where they hold an article or most of the page's prose. Where a page says what its article is (`article`,
 `main` or that role), only that counts, and its prose is never taken for a template.
 """
 
@@ -57,7 +58,7 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar"
     " toolbar status".split()
 )
-#: One of these words in a class or id tells that an element is furniture.
+#: One of these words in a class or id tells that an element is furniture (see _spare).
 MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar"
     " cookie cookies consent gdpr notice banner alert popup modal overlay ad ads advert"
@@ -112,6 +113,7 @@ def parse(page: str) -> list[Node]:
     end tags are supplied, stray ones ignored, an unfinished tag at the end is dropped."""
     nodes = [Node("#root", "", -1, False, False)]
     opened, count, at = [0], {}, 0
+    unsure: list[int] = []  # forms, and elements with a word of MARKS within a longer name
 
     def close(to: int) -> None:
         while len(opened) > to:
@@ -143,10 +145,15 @@ def parse(page: str) -> list[Node]:
         mark, role, hidden = _described(tag, m[3])
         words = {w.lower() for w in _WORD.findall(mark)} if mark else ()
         article = tag in ("article", "main") or role in ("article", "main")
-        bad = tag in FURNITURE or hidden or role in ROLES
-        bad |= bool(words) and not MARKS.isdisjoint(words) and tag not in ("body", "html")
-        bad |= "header" in words and not (count.get("article") or count.get("main"))
+        sure = tag in FURNITURE and tag != "form" or hidden or role in ROLES
+        whole = not MARKS.isdisjoint(mark.lower().split()) and tag not in ("body", "html")
+        part = bool(words) and not MARKS.isdisjoint(words) and tag not in ("body", "html")
+        part |= "header" in words and not (count.get("article") or count.get("main"))
+        part |= tag == "form"
+        bad = sure or whole or part and not article
         nodes.append(Node(tag, mark, opened[-1], bad, article and not bad))
+        if part and not article and not (sure or whole):
+            unsure.append(len(nodes) - 1)
         nodes[opened[-1]].children.append(len(nodes) - 1)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -156,9 +163,35 @@ def parse(page: str) -> list[Node]:
             opened.append(len(nodes) - 1)
             count[tag] = count.get(tag, 0) + 1
     text(at, len(page))
+    if unsure:
+        _spare(nodes, unsure)
     return nodes
 
 
+def _spare(nodes: list[Node], unsure: list[int]) -> None:
+    """Elements of `unsure` that hold an article or most of the page's prose are no furniture; nor
+    do those count that stand in other furniture."""
+    known = set(unsure)
+    sure = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        sure[i] = n.furniture and i not in known or n.parent >= 0 and sure[n.parent]
+    prose, holds = [0] * len(nodes), [False] * len(nodes)
+    within = [False] * len(nodes)  # text of paragraphs, headings and the like
+    for i, n in enumerate(nodes):
+        within[i] = n.tag in PROSE or n.parent >= 0 and within[n.parent]
+    for i in range(len(nodes) - 1, 0, -1):
+        n = nodes[i]
+        if sure[i]:
+            continue
+        if within[i]:
+            prose[i] += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        prose[n.parent] += prose[i]
+        holds[n.parent] |= holds[i] or n.article
+    for i in unsure:
+        if not sure[i] and (holds[i] or 2 * prose[i] > prose[0]):
+            nodes[i].furniture = False
+
+
 def _close_nearest(nodes: list[Node], opened: list[int], tags: tuple[str, ...], close) -> None:
     """Close the innermost open element of `tags` that no list or table stands around."""
     for i in range(len(opened) - 1, 0, -1):

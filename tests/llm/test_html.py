@@ -56,3 +56,15 @@ def test_query(spark):
         text = re.sub(r"<[^>]*>?", " ", re.sub("</?b>", "", inside))
         assert got[page.page_id].text == " ".join(entities.unescape(text).split())
         assert got[page.page_id].n_chars == len(got[page.page_id].text)
+
+
+def test_wrappers_with_a_furniture_word_keep_their_article():
+    pages = {
+        "<div class='content-sidebar-wrap'><article><p>x</p></article></div>": "x",
+        "<main class='no-sidebar'><p>x</p></main>": "x",
+        "<div id='page-with-navigation'><h1>x</h1><p>y</p></div><div class='nav-box'><p>n</p></div>": "x y",
+        "<form><main><p>x</p></main><button>b</button></form>": "x",
+        "<article><p>x</p><div class='share-box'>s</div></article><div class='sidebar'><article>c</article></div>": "x",
+    }
+    for page, text in pages.items():
+        assert html.extract(page) == text, page
