@@ -105,6 +105,125 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_CRC32 = """
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({0}) + 1),
+        lambda i: unicode(substr({0}, i, 1))::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+        4294967295)"""
+
+OP12 = f"""
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            sha256(length(role) || ':' || role || text)) AS place,
+        length(role) || ':' || role || text AS said, strlen(text) AS bytes
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)
+),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id::VARCHAR")} % 9 AS h
+    FROM own GROUP BY conv_id
+),
+rebuilt AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS place,
+        said, bytes
+    FROM (
+        SELECT convs.conv_id, 0 AS part, place, said, bytes
+        FROM convs JOIN own ON own.conv_id = base AND place <= h
+        UNION ALL
+        SELECT conv_id, 1, place, said, bytes FROM convs JOIN own USING (conv_id) WHERE place > h
+    )
+),
+whole AS (
+    SELECT conv_id, list(said ORDER BY place) FILTER (place IS NOT NULL) AS said,
+        list(bytes ORDER BY place) FILTER (place IS NOT NULL) AS bytes
+    FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+),
+begun AS (
+    SELECT conv_id, d AS depth, coalesce(said, [])[1:d] AS k, bytes[d] AS bytes,
+        d = coalesce(len(said), 0) AS ends
+    FROM (SELECT *, unnest(range(coalesce(len(said), 0) + 1)) AS d FROM whole)
+),
+nodes AS MATERIALIZED (
+    SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), ''))
+            AS ends_sha256
+    FROM begun GROUP BY k, depth
+),
+children AS (
+    SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+),
+subtrees AS (
+    SELECT k[1:up] AS k, sum((n_children IS NULL)::BIGINT)::BIGINT AS n_leaves,
+        sum(CASE WHEN depth > 0 THEN (n_convs - 1) * bytes ELSE 0 END)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(depth + 1)) AS up FROM nodes LEFT JOIN children USING (k))
+    GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+    coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.k = n.k LEFT JOIN children c ON c.k = n.k
+LEFT JOIN nodes p ON n.depth > 0 AND p.k = n.k[1:n.depth - 1]
+"""
+
+
+def _floor_ratio(a: str, b: str) -> str:
+    return f"(({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b})"
+
+
+def _rounds(rounds: int) -> str:
+    """Codebooks b0 (the seeds) to b<rounds>, with the assignments a0 ... of every part between."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+    SELECT row, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance FROM (
+        SELECT row, p.part, entry, list_sum(list_transform(range(1, len(p.x) + 1),
+            lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS distance
+        FROM parts p JOIN b{r} b ON b.part = p.part
+    ) GROUP BY row, part
+)""")
+        if r < rounds:
+            out.append(f"""
+b{r + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+        SELECT part, entry, list(x ORDER BY dim) AS x FROM (
+            SELECT part, entry, dim,
+                ({_floor_ratio("sum(v)::BIGINT", "count(*)")})::BIGINT AS x
+            FROM (SELECT p.part, a.entry, unnest(p.x) AS v, unnest(range(len(p.x))) AS dim
+                FROM parts p JOIN a{r} a ON a.row = p.row AND a.part = p.part)
+            GROUP BY part, entry, dim
+        ) GROUP BY part, entry
+    ) m ON m.part = b.part AND m.entry = b.entry
+)""")
+    return ",".join(out)
+
+
+OP13 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row,
+        list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+    SELECT row, part, x[part * len(x) // 8 + 1:(part + 1) * len(x) // 8] AS x
+    FROM (SELECT row, x, unnest(range(8)) AS part FROM kept)
+),
+b0 AS MATERIALIZED (SELECT part, row AS entry, x FROM parts WHERE row < 16),
+{_rounds(6)},
+coded AS (
+    SELECT row, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code,
+        sum(distance)::BIGINT AS error
+    FROM a6 GROUP BY row
+),
+books AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS digest FROM b6
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT digest FROM books) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -113,4 +232,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_duplicates": OP7,
         "op8_decontamination": OP8,
         "op10_top_k": OP10,
+        "op12_prefix_trie": OP12,
+        "op13_vector_codes": OP13,
     }

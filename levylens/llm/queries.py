@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from levylens.llm import (
+    ctw,
     decontaminate,
     html,
     langid,
     minhash,
     packing,
     pii,
+    prefixtrie,
     secrets,
     sharding,
     topk,
     urlfilter,
+    vectorcodes,
 )
+from levylens.sources.sinks import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = (
@@ -109,6 +113,29 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    dealt = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(10))
+    docs = docs.withColumn("held_out", F.coalesce(dealt == 0, F.lit(False)))
+    return ctw.scored(docs, ~F.col("held_out"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefixtrie.numbered(table(spark, folder, "conversations"))
+    head = F.pmod(F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")), F.lit(9))
+    rebuilt = prefixtrie.with_shared_heads(turns, every=5, head=head, longest=8)
+    return prefixtrie.trie(rebuilt, turns)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    books = vectorcodes.train(vectors)
+    coded = staged(vectorcodes.encoded(vectors, books), "codes")
+    return vectorcodes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -123,5 +150,8 @@ def queries() -> dict[str, Query]:
             op8_decontamination,
             op9_secrets,
             op10_top_k,
+            op11_scores,
+            op12_prefix_trie,
+            op13_vector_codes,
         )
     }

@@ -21,5 +21,5 @@ def test_query_matches_sql(spark, scale, name):
 
 def test_registered():
     names = entry.queries().keys()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert "pipeline" in names
