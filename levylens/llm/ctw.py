@@ -164,7 +164,8 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         up *= x + k
     y = x + 8
-    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * y * y)) / (y * y)) / (y * y)) / y
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z / 521.5))))) / y
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(up)
 
 
@@ -364,8 +365,8 @@ _SCORES = (
 
 
 class _Known(dict):
-    def __missing__(self, key: bytes) -> int:
-        return -1
+    def __missing__(self, word: bytes) -> int:
+        return self.get(_short(word), -1) if len(word) > LONG_WORD else -1
 
 
 def _split(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

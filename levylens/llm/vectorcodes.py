@@ -259,14 +259,15 @@ def with_label_error(
     coded: DataFrame, label_col: str = "label", error_col: str = "error"
 ) -> DataFrame:
     """`coded` with `label_error`, the error summed over the rows of equal label (null is a label of
-    its own; null errors count nothing), held to a long.
+    its own; null errors count nothing, and labels that have no other get a null), held to a long.
 
     The errors are summed per label within each task first; the stored totals are joined back.
     """
     own = coded.drop(*[c for c in coded.columns if c.lower() == "label_error"])
     label = F.col(f"`{label_col}`")
-    total = F.least(F.sum(F.col(f"`{error_col}`").cast("decimal(38,0)")), F.lit(_LONG).cast("decimal(38,0)"))
-    totals = own.groupBy(label.alias("_label")).agg(total.cast("long").alias("label_error"))
+    total = F.sum(F.col(f"`{error_col}`").cast("decimal(38,0)"))
+    held = F.when(total.isNotNull(), F.least(total, F.lit(_LONG).cast("decimal(38,0)")))
+    totals = own.groupBy(label.alias("_label")).agg(held.cast("long").alias("label_error"))
     totals = staged(totals, "label-errors")
     joined = own.join(totals, label.eqNullSafe(totals["_label"]), "left")
     return joined.drop(totals["_label"])

@@ -1,4 +1,5 @@
 import collections
+import functools
 import math
 import random
 
@@ -44,11 +45,13 @@ def brute(rows, depth):
                     counts[node][bit] += 1
     known = {}
 
+    @functools.cache
     def kt(node):
         a, b = counts.get(node, (0, 0))
         steps = [math.log((i + 0.5)) for i in range(a)] + [math.log(i + 0.5) for i in range(b)]
         return sum(steps) - sum(math.log(i + 1) for i in range(a + b))
 
+    @functools.cache
     def below(node):
         return sum(weight(c) for c in children.get(node, ()))
 
@@ -87,7 +90,7 @@ def made_rows():
         rng.choice([" ", "\n", "\t "]).join(rng.choices(vocabulary, k=rng.randint(0, 30)))
         for _ in range(40)
     ]
-    texts += [None, "", "   ", "unseen Words qx9", "x" * 3000, "a b", texts[3], "longword" * 20]
+    texts += [None, "", "   ", "unseen Words qx9", "x" * 700, "a b", texts[3], "longword" * 20]
     return [(i, t, i % 5 != 0) for i, t in enumerate(texts)]
 
 
