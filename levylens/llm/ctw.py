@@ -17,6 +17,7 @@ HEAD_WORDS at most, go to all tasks as arrays of that bound, and all others are
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,12 +31,12 @@ from pyspark.sql.types import StructType
 from levylens.llm._words import parts
 from levylens.sources.sinks import staged
 
-DEPTH = 6
-HEAD_GRAMS, HEAD_WORDS = 1 << 20, 1 << 18
+DEPTH, DEEPEST = 5, 6
+HEAD_GRAMS, HEAD_WORDS = 1 << 20, 1 << 19
 GROUP_GRAMS = 1 << 19  # rows of a group while the tree is weighted
-SLICE_BYTES = 4 << 20  # text taken at a time in a task
-WINDOW = 1 << 20  # bytes whose grams are in memory at once
-HELD_GRAMS, HELD_WORDS = 1 << 20, 1 << 18  # distinct ones a task holds before it sends them on
+SLICE_BYTES = 2 << 20  # text taken at a time in a task
+WINDOW = 1 << 17  # bytes whose grams are in memory, and in the cache, at once
+HELD_GRAMS, HELD_WORDS = 1 << 20, 1 << 19  # distinct ones a task holds before it sends them on
 SMOOTH = 0.1
 LONG_WORD = 48  # longer words are known by a blank and their SHA-256
 _END = b"\n"
@@ -87,60 +88,61 @@ def _counted(depth: int):
     grams (word is null) and of words (gram is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((0, 3), dtype=np.int64)]
+        held: list[tuple[np.ndarray, ...]] = []  # (grams in order, learned, seen)
         size = 0
-        tokens: tuple[Counter, Counter] = (Counter(), Counter())  # seen, learned
+        tokens: tuple[Counter, Counter] = (Counter(), Counter())  # in other texts, in learned ones
 
-        def merged() -> np.ndarray:
-            rows = np.concatenate(held)
-            keys, back = np.unique(rows[:, 0], return_inverse=True)
-            sums = [np.bincount(back, rows[:, i], len(keys)).astype(np.int64) for i in (1, 2)]
-            return np.column_stack([keys, *sums])
-
-        def gram_rows(rows: np.ndarray) -> pa.RecordBatch:
-            return _batch(rows[:, 0], [None] * len(rows), rows[:, 1], rows[:, 2])
+        def gram_rows(keys: np.ndarray, learned: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            return _batch(keys, [None] * len(keys), learned, seen)
 
         def word_rows() -> pa.RecordBatch:
-            names = list(tokens[0])
+            names = list(tokens[0] | tokens[1]) if tokens[0] else list(tokens[1])
             learned = [tokens[1][w] for w in names]
-            out = _batch([None] * len(names), names, learned, list(tokens[0].values()))
+            seen = [n + tokens[0][w] for w, n in zip(names, learned, strict=True)]
+            out = _batch([None] * len(names), names, learned, seen)
             tokens[0].clear()
             tokens[1].clear()
             return out
 
         for batch in batches:
             for part in parts(batch, 0, SLICE_BYTES):
-                learns = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                learns = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = [words(t) for t in part.column(0).to_pylist()]
                 for found, text in windows(texts, depth):
-                    of = learns[text]
-                    for own, learned in ((found[of], True), (found[~of], False)):
-                        keys, n = np.unique(own, return_counts=True)
-                        held.append(np.column_stack([keys, n * learned, n]))
-                        size += len(keys)
+                    keys, n = np.unique(found << 1 | learns[text], return_counts=True)
+                    held.append((keys >> 1, n * (keys & 1), n))
+                    size += len(keys)
                 for text, learned in zip(texts, learns.tolist(), strict=True):
+                    if max(map(len, text), default=0) > LONG_WORD:
+                        text = [_short(w) for w in text]
                     text.append(_END)
-                    tokens[0].update(text)
-                    if learned:
-                        tokens[1].update(text)
-                for word in [w for w in tokens[0] if len(w) > LONG_WORD]:
-                    for counter in tokens:
-                        if word in counter:
-                            counter[_short(word)] += counter.pop(word)
+                    tokens[learned].update(text)
                 if size > 2 * HELD_GRAMS:
-                    held[:] = [merged()]
-                    size = len(held[0])
+                    held[:] = [_summed(held)]
+                    size = len(held[0][0])
                     if size > HELD_GRAMS:
-                        yield gram_rows(held[0])
-                        held[:], size = [held[0][:0]], 0
-                if len(tokens[0]) > HELD_WORDS:
+                        yield gram_rows(*held.pop())
+                        size = 0
+                if len(tokens[0]) + len(tokens[1]) > HELD_WORDS:
                     yield word_rows()
-        yield gram_rows(merged())
+        if held:
+            yield gram_rows(*_summed(held))
         yield word_rows()
 
     return run, "gram long, word binary, learned long, seen long"
 
 
+def _summed(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Runs (keys in order, numbers ...) as one with every key once and its numbers added up."""
+    keys, *numbers = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(keys, kind="stable")  # merges the runs
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    if not len(first):
+        return (keys, *numbers)
+    return (keys[first], *(np.add.reduceat(x[order], first) for x in numbers))
+
+
 def _batch(gram, word, learned, seen) -> pa.RecordBatch:
     types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     columns = [pa.array(c, t) for c, t in zip((gram, word, learned, seen), types, strict=True)]
@@ -303,7 +305,7 @@ def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def borders(group: pa.Table) -> pa.Table:
         keys, learned, _ = arrays(group)
         rows = _weighted(keys, learned, depth, None)
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "depth int, number long, zeros double, ones double, below double"
@@ -365,6 +367,8 @@ _SCORES = (
 
 
 class _Known(dict):
+    """Places of words in a list; -1 for others."""
+
     def __missing__(self, word: bytes) -> int:
         return self.get(_short(word), -1) if len(word) > LONG_WORD else -1
 
@@ -399,10 +403,10 @@ def scored(
 
     A null text is empty, and an empty text is one end. A null in `learns` is false. Without texts
     to learn from every byte has eight even decisions. Repeated rows and rows without id are scored
-    like others. `depth` is 6 at most.
+    like others. `depth` is DEEPEST at most.
     """
-    if not 0 <= depth <= DEPTH:
-        raise ValueError(f"a context has 0 to {DEPTH} bytes")
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"a context has 0 to {DEEPEST} bytes")
     out = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), *out)]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
@@ -445,7 +449,8 @@ def scored(
                 for t in texts:
                     t.append(_END)
                 size = np.array([len(t) for t in texts])
-                at = np.fromiter((i for t in texts for i in map(words_at.__getitem__, t)), np.int64, size.sum())
+                at = map(words_at.__getitem__, itertools.chain.from_iterable(texts))
+                at = np.fromiter(at, np.int64, size.sum())
                 of = np.repeat(np.arange(n), size)
                 base, n_known = np.bincount(of, weight[at], n), np.bincount(of, learned[at] > 0, n)
                 absent = np.flatnonzero(at < 0)
