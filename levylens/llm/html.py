@@ -1,16 +1,19 @@
 """Main text of web pages: site templates are removed by subtrees that recur on a host.
 
-Every page is read into a tree of elements. Each subtree that can be furniture gets a hash of its
+Every page is read into a tree of elements. Each subtree of the text that is left gets a hash of its
 tags, classes and words, and Spark counts on how many different pages of a host it stands: pages
 with the same main text count once, so copies of an article do not make it a template. Subtrees on
-at least `min_pages` pages and a tenth of a host's pages are deleted on that host; their number per
-host is bounded by that share.
+at least `min_pages` pages of a host, however large the host is, are deleted on that host. Counts are
+joined to each page's own subtrees, so no list per host is gathered, and only pages that lose
+something are read a second time.
 
 Some furniture differs from page to page and is known by its markup: navigation, page headers and
 footers, sidebars, forms, scripts and styles by their elements, and adverts, notices, reader
 comments and the like by role, class or id. A name that only contains such a word, and a form, are
-no furniture where they hold an article or most of the page's prose. Where a page says what its article is (`article`,
-`main` or that role), only that counts, and its prose is never taken for a template.
+no furniture where they hold an article or most of the page's prose. A class or id that is such a
+word spares `main`, and an article that has most of the page's text while no other article stands
+outside of furniture; comments are never spared for an article. Where a page says what its article
+is (`article`, `main` or that role), only that counts, and its prose is never taken for a template.
 """
 
 from __future__ import annotations
@@ -19,17 +22,16 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from levylens.llm.urlfilter import host_of
 from levylens.sources.sinks import staged
 
 MIN_PAGES = 10
-SHARE = 10  # a template stands on one page in so many, at least
 
 # fixed values: names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +68,7 @@ MARKS = frozenset(
     " subscribe subscription signup login share sharing social related recommended comment"
     " comments disqus replies pagination pager toolbar widget skip search".split()
 )
+COMMENTS = frozenset("comment comments disqus replies".split())
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -113,7 +116,7 @@ def parse(page: str) -> list[Node]:
     end tags are supplied, stray ones ignored, an unfinished tag at the end is dropped."""
     nodes = [Node("#root", "", -1, False, False)]
     opened, count, at = [0], {}, 0
-    unsure: list[int] = []  # forms, and elements with a word of MARKS within a longer name
+    unsure: dict[int, bool] = {}  # forms and elements with a word of MARKS; whether it is a whole name
 
     def close(to: int) -> None:
         while len(opened) > to:
@@ -146,14 +149,16 @@ def parse(page: str) -> list[Node]:
         words = {w.lower() for w in _WORD.findall(mark)} if mark else ()
         article = tag in ("article", "main") or role in ("article", "main")
         sure = tag in FURNITURE and tag != "form" or hidden or role in ROLES
-        whole = not MARKS.isdisjoint(mark.lower().split()) and tag not in ("body", "html")
+        names = mark.lower().split()
+        whole = not MARKS.isdisjoint(names) and tag not in ("body", "html")
         part = bool(words) and not MARKS.isdisjoint(words) and tag not in ("body", "html")
         part |= "header" in words and not (count.get("article") or count.get("main"))
         part |= tag == "form"
+        whole &= not (tag == "main" or role == "main")
         bad = sure or whole or part and not article
-        nodes.append(Node(tag, mark, opened[-1], bad, article and not bad))
-        if part and not article and not (sure or whole):
-            unsure.append(len(nodes) - 1)
+        nodes.append(Node(tag, mark, opened[-1], bad, article))
+        if bad and not sure and (not whole or COMMENTS.isdisjoint(names)):
+            unsure[len(nodes) - 1] = whole
         nodes[opened[-1]].children.append(len(nodes) - 1)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -168,28 +173,46 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _spare(nodes: list[Node], unsure: list[int]) -> None:
-    """Elements of `unsure` that hold an article or most of the page's prose are no furniture; nor
-    do those count that stand in other furniture."""
-    known = set(unsure)
-    sure = [False] * len(nodes)
-    for i, n in enumerate(nodes):
-        sure[i] = n.furniture and i not in known or n.parent >= 0 and sure[n.parent]
-    prose, holds = [0] * len(nodes), [False] * len(nodes)
-    within = [False] * len(nodes)  # text of paragraphs, headings and the like
-    for i, n in enumerate(nodes):
-        within[i] = n.tag in PROSE or n.parent >= 0 and within[n.parent]
-    for i in range(len(nodes) - 1, 0, -1):
-        n = nodes[i]
+def _spare(nodes: list[Node], unsure: dict[int, bool]) -> None:
+    """Elements of `unsure` are no furniture where they hold the article.
+
+    With a word of MARKS within a longer name that is an article or most of the page's prose; with
+    a whole one `main`, or an article with most of the page's text if there is none elsewhere. What
+    stands in other furniture does not count.
+    """
+    n = len(nodes)
+    sure, within, marked = [False] * n, [False] * n, [False] * n
+    for i, node in enumerate(nodes):
+        above = node.parent
+        sure[i] = node.furniture and i not in unsure or above >= 0 and sure[above]
+        within[i] = node.tag in PROSE or above >= 0 and within[above]
+        marked[i] = unsure.get(i, False) or above >= 0 and marked[above]
+    prose, text = [0] * n, [0] * n  # of paragraphs, headings and the like; of everything
+    plain, article, main = [False] * n, [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        node, above = nodes[i], nodes[i].parent
+        if sure[i]:
+            continue
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        text[i] += own
+        prose[i] += own if within[i] else 0
+        plain[i] |= node.article and not node.furniture
+        article[i] |= node.article
+        main[i] |= node.tag == "main"
+        for counts in (prose, text):
+            counts[above] += counts[i]
+        for holds in (plain, article, main):
+            holds[above] |= holds[i]
+    elsewhere = any(
+        x.article and not (sure[i] or marked[i]) for i, x in enumerate(nodes)
+    )
+    for i, whole in unsure.items():
         if sure[i]:
             continue
-        if within[i]:
-            prose[i] += sum(len(c.strip()) for c in n.children if isinstance(c, str))
-        prose[n.parent] += prose[i]
-        holds[n.parent] |= holds[i] or n.article
-    for i in unsure:
-        if not sure[i] and (holds[i] or 2 * prose[i] > prose[0]):
-            nodes[i].furniture = False
+        if whole:
+            nodes[i].furniture = not (main[i] or article[i] and not elsewhere and 2 * text[i] > text[0])
+        else:
+            nodes[i].furniture = not (plain[i] or 2 * prose[i] > prose[0])
 
 
 def _close_nearest(nodes: list[Node], opened: list[int], tags: tuple[str, ...], close) -> None:
@@ -210,7 +233,7 @@ def _articles(nodes: list[Node]) -> list[int]:
     for i, n in enumerate(nodes):
         outer = n.parent >= 0 and inside[n.parent]
         inside[i] = outer or n.furniture or n.article
-        if n.article and not outer:
+        if n.article and not n.furniture and not outer:
             found.append(i)
     return found or [0]
 
@@ -248,11 +271,15 @@ def _can_be_template(nodes: list[Node], roots: list[int]) -> list[bool]:
     return out
 
 
-def blocks(nodes: list[Node], templates: frozenset[int] = frozenset()) -> list[str]:
-    """The blocks of main text in page order, without furniture and subtrees among `templates`."""
-    own = hashes(nodes) if templates else []
+def blocks(
+    nodes: list[Node], templates: frozenset[int] = frozenset(), seen: set[int] | None = None
+) -> list[str]:
+    """The blocks of main text in page order, without furniture and subtrees among `templates`.
+    The hashes of all subtrees that could be templates and have a part in it are added to `seen`."""
+    wanted = bool(templates) or seen is not None
+    own = hashes(nodes) if wanted else []
     roots = _articles(nodes)
-    able = _can_be_template(nodes, roots) if templates else []
+    able = _can_be_template(nodes, roots) if wanted else []
     out: list[str] = []
     parts: list[str] = []
 
@@ -281,8 +308,11 @@ def blocks(nodes: list[Node], templates: frozenset[int] = frozenset()) -> list[s
                     finish()
                 if n.furniture or n.tag in PAGE_ONLY and not named:
                     continue
-                if able and able[child] and own[child] in templates:
-                    continue
+                if wanted and able[child]:
+                    if own[child] in templates:
+                        continue
+                    if seen is not None:
+                        seen.add(own[child])
                 stack.append(iter(n.children))
                 ends.append(block)
         finish()
@@ -293,66 +323,74 @@ def extract(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     return " ".join(blocks(parse(page), templates)) if page else ""
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
-    """(host, main, subtree), each pair of a page's main text and a subtree that can be furniture."""
+def _first_reading(pages: DataFrame) -> DataFrame:
+    """`pages` (..., html, host) with, in place of html, a digest of it, the text by markup alone
+    and the subtrees it is made of that could be templates."""
+    kept = len(pages.columns) - 2
+    schema = StructType([*pages.schema.fields[:kept], pages.schema["host"]])
+    schema = schema.add("page", BinaryType()).add("text", StringType())
+    schema = schema.add("subtrees", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, mains, trees = [], [], []
-            for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes = parse(page or "")
-                main = " ".join(blocks(nodes)).encode(errors="replace")
-                digest = blake2b(main, digest_size=8).digest()
-                able = _can_be_template(nodes, _articles(nodes))
-                own = {h for h, yes in zip(hashes(nodes), able, strict=True) if yes} | {0}
-                hosts += [host] * len(own)
-                mains += [int.from_bytes(digest, "little", signed=True)] * len(own)
-                trees += own
-            columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (mains, trees))]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "main", "subtree"])
-
-    return pages.mapInArrow(run, "host string, main long, subtree long")
-
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtrees): the subtrees that recur on a host, of `pages` (host, html)."""
-    every = _subtrees(pages).distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    every = staged(every.filter(F.col("pages") >= F.when(F.col("subtree") == 0, 1).otherwise(min_pages)),
-                   "subtrees")
-    hosts = every.filter("subtree = 0").select("host", F.col("pages").alias("all_pages"))
-    often = every.filter("subtree <> 0").join(hosts, "host")
-    often = often.filter(F.col("pages") * SHARE >= F.col("all_pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
+            digests, texts, trees = [], [], []
+            for page in batch.column(kept).to_pylist():
+                seen: set[int] = set()
+                texts.append(" ".join(blocks(parse(page), frozenset(), seen)) if page else "")
+                digests.append(sha256((page or "").encode(errors="replace")).digest())
+                trees.append(sorted(seen))
+            columns = [*batch.columns[:kept], batch.column(kept + 1), pa.array(digests, pa.binary())]
+            columns += [pa.array(texts, pa.string()), pa.array(trees, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return pages.mapInArrow(run, schema)
+
+
+def deletions(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, page, subtrees): what goes from the pages of `read` (host, page, text, subtrees)
+    because it stands on so many different pages of the host, with different texts. Stored."""
+    main = F.xxhash64("text").alias("main")
+    rows = read.select("host", "page", main, F.explode("subtrees").alias("subtree"))
+    often = rows.select("host", "main", "subtree").distinct().groupBy("host", "subtree")
+    often = often.agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    often = staged(often.select(F.col("host").alias("site"), F.col("subtree").alias("tree")), "subtrees")
+    same = F.col("host").eqNullSafe(F.col("site")) & (F.col("subtree") == F.col("tree"))
+    found = rows.select("host", "page", "subtree").join(often, same)
+    return staged(found.groupBy("host", "page").agg(F.collect_set("subtree").alias("trees")), "deletions")
 
 
 def main_text(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """`pages` without `html_col` and with the column text (replacing one of that name): the main
-    text, its blocks joined by one space, character references decoded. Runs a job.
+    text, its blocks joined by one space, character references decoded. Runs jobs.
 
     Null and empty pages, and pages of nothing but furniture, have an empty text. Pages without
-    host form one site. Repeated rows stay.
+    host form one site. Repeated rows stay. A page is held in memory as a whole, with a record per
+    element.
     """
     others = [c for c in pages.columns if c.lower() != "text" and c != html_col]
+    names = [f"_{i}" for i in range(len(others))]
     flat = pages.select(
         *[F.col(f"`{c}`") for c in others],
         F.col(f"`{html_col}`").cast("string"),
         host_of(F.col(f"`{url_col}`").cast("string")),
-    ).toDF(*[f"_{i}" for i in range(len(others))], "html", "host")
-    known = staged(templates(flat.select("host", "html"), min_pages), "templates")
-    schema = StructType(
-        [*flat.schema.fields[: len(others)], StructField("text", StringType())]
+    ).toDF(*names, "html", "host")
+    read = staged(_first_reading(flat), "readings")
+    changed = deletions(read, min_pages).select(
+        F.col("host").alias("site"), F.col("page").alias("digest"), "trees"
     )
+    same = F.col("host").eqNullSafe(F.col("site")) & (F.col("page") == F.col("digest"))
+    untouched = read.join(changed, same, "left_anti").select(*names, "text")
+    schema = untouched.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            texts = []
-            for page, trees in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1), strict=True):
-                texts.append(extract(page, frozenset(trees.as_py() or ())))
-            columns = [*batch.columns[: n - 2], pa.array(texts, pa.string())]
+            both = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1), strict=True)
+            texts = [extract(page, frozenset(trees.as_py())) for page, trees in both]
+            columns = [*batch.columns[: len(names)], pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    both = flat.join(known, "host", "left").select(*flat.columns[:-1], "subtrees")
-    return both.mapInArrow(run, schema).toDF(*others, "text")
+    keyed = flat.withColumn("page", F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)))
+    again = keyed.join(changed, same).select(*names, "html", "trees").mapInArrow(run, schema)
+    return untouched.unionByName(again).toDF(*others, "text")

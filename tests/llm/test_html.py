@@ -68,3 +68,66 @@ def test_wrappers_with_a_furniture_word_keep_their_article():
     }
     for page, text in pages.items():
         assert html.extract(page) == text, page
+
+
+def test_whole_furniture_words_spare_the_article():
+    pages = {
+        "<div class='search'><article><p>x</p></article></div>": "x",
+        "<div id='related'><main><p>x</p></main></div><p>y</p>": "x",
+        "<main class='content widget'><p>x</p></main>": "x",
+        "<article class='post sponsored'><p>x</p></article>": "x",
+        "<article><p>x</p></article><article class='sponsored'><p>an advert of some length</p></article>": "x",
+        "<article><p>x</p></article><div class='related'><article><p>another story</p></article></div>": "x",
+        "<div><p>post</p></div><div class='comments'><article><p>a much longer comment</p></article></div>": "post",
+        "<nav><main><p>x</p></main></nav><p>y</p>": "y",
+    }
+    for page, text in pages.items():
+        assert html.extract(page) == text, page
+
+
+def site(rng, host, n):
+    """Pages of one host: own prose in a plain block, boxes that some pages share."""
+    boxes = [f"<div class=b{k}><p>box {k} of {host}</p><ul><li>one {k}<li>two {k}</ul></div>" for k in range(6)]
+    rows = []
+    for i in range(n):
+        parts = [f"<section><p>{host} story {i} {rng.random()}</p></section>"]
+        parts += [b for k, b in enumerate(boxes) if rng.random() < (k + 1) / 8]
+        if rng.random() < 0.1 and rows:
+            rows.append((f"http://{host}/{i}", rows[-1][1]))
+            continue
+        rng.shuffle(parts)
+        rows.append((f"http://{host}/{i}", "<body>" + "".join(parts) + "</body>"))
+    return rows
+
+
+def test_counts_against_brute_force(spark):
+    """Every subtree's pages are counted by walking all pages of the host."""
+    import collections
+    import random
+
+    rng = random.Random(6)
+    rows = [r for h, n in (("a.org", 14), ("b.org", 70), ("c.org", 300)) for r in site(rng, h, n)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df.repartition(5)).collect()}
+    pages = collections.defaultdict(set)
+    for url, page in rows:
+        host, text = url.split("/")[2], html.extract(page)
+        for box in re.findall(r"<div class=b\d>.*?</div>", page):
+            pages[host, box].add(text)
+    changed = 0
+    for i, (url, page) in enumerate(rows):
+        kept = page
+        for box in re.findall(r"<div class=b\d>.*?</div>", page):
+            if len(pages[url.split("/")[2], box]) >= html.MIN_PAGES:
+                kept = kept.replace(box, "")
+        changed += kept != page
+        assert got[i] == html.extract(kept)
+    assert 0.5 * len(rows) < changed < len(rows)
+
+
+def test_a_template_needs_the_same_count_on_every_host(spark):
+    """A box on 12 of 400 pages goes as it does on 12 of 12."""
+    bar = "<div class=box><p>Spring sale</p></div>"
+    rows = [(i, f"http://big.org/{i}", f"<div><p>story {i}</p></div>{bar if i < 12 else ''}") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all("Spring" not in r.text for r in html.main_text(df).collect())
