@@ -1,30 +1,37 @@
-"""Number-to-text formats used in report tables and labels."""
+"""Number-to-text formats used in report tables and labels. A missing number, NaN among them, has no
+text: the result is NULL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from levylens.functions._column import ColumnLike, col
+from levylens.functions.aggregates import known
+
+
+def _printed(pattern: str, number: Column) -> Column:
+    """`format_string` would print NULL as the word."""
+    return F.when(known(number).isNotNull(), F.format_string(pattern, number))
 
 
 def rounded_text(c: ColumnLike, digits: int = 2) -> Column:
     """Round half to even and keep the trailing zeros."""
-    return F.format_string(f"%.{digits}f", F.bround(col(c), digits))
+    return _printed(f"%.{digits}f", F.bround(col(c), digits))
 
 
 def percent_text(share: ColumnLike, digits: int = 2) -> Column:
     """0.125 to "12.50%", rounding half up."""
-    return F.format_string(f"%.{digits}f%%", F.round(col(share) * 100, digits))
+    return _printed(f"%.{digits}f%%", F.round(col(share) * 100, digits))
 
 
 def percent_label(share: ColumnLike) -> Column:
     """0.125 to "12%", rounding half to even."""
-    return F.format_string("%.0f%%", F.bround(col(share) * 100, 0))
+    return _printed("%.0f%%", F.bround(col(share) * 100, 0))
 
 
 def comma(c: ColumnLike, digits: int = 0) -> Column:
     """Thousands separators."""
-    return F.format_number(col(c), digits)
+    return F.format_number(known(c), digits)
 
 
 def dollar(c: ColumnLike, digits: int = 0) -> Column:

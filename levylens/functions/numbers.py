@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from levylens.functions._column import ColumnLike, col
@@ -13,10 +11,15 @@ def num(c: ColumnLike) -> Column:
     Spark reads a trailing Java type letter ("1d", "2F") as part of a number; here it is not one.
     """
     text = col(c)
-    type_letter = reduce(Column.__or__, [text.endswith(letter) for letter in "dDfF"])
-    infinity = text.endswith("nf") | text.endswith("NF")
-    value = text.try_cast("double")
-    return F.when(~(type_letter & ~infinity) & ~F.isnan(value), value)
+    plain = ~F.right(text, F.lit(1)).isin("d", "D", "f", "F") | F.lower(F.right(text, F.lit(2))).isin("nf")
+    return F.nanvl(F.when(plain, text).try_cast("double"), F.lit(None).cast("double"))
+
+
+def malformed(c: ColumnLike) -> Column:
+    """Whether a text that is there is not a number. Blank text and the words for missing values,
+    NA and NaN, are not: they read as missing without a warning."""
+    text = F.trim(col(c).cast("string"))
+    return text.isNotNull() & ~text.isin("", "NA", "NaN") & num(col(c).cast("string")).isNull()
 
 
 def whole(c: ColumnLike) -> Column:

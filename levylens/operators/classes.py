@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from levylens.functions._column import ColumnLike
+from levylens.functions._column import ColumnLike, col, unused
 from levylens.functions.aggregates import known
+from levylens.operators.joins import null_safe_join
+from levylens.sources.sinks import staged
 
 FIRST_BINS, SPLIT = 512, 16
 OPEN_SHARE = 1 / 64
@@ -89,16 +93,23 @@ def _optimal_cuts(x: np.ndarray, w: np.ndarray, k: int) -> list[int]:
         weight, total = cw[end] - cw[starts], cx[end] - cx[starts]
         return cxx[end] - cxx[starts] - total * total / weight
 
-    best = np.array([np.inf, *(deviation(np.array([0]), e)[0] for e in range(1, n + 1))])
+    best = np.concatenate([[np.inf], cxx[1:] - cx[1:] * cx[1:] / cw[1:]])
     back = []
     for classes in range(2, k + 1):
         previous, best = best, np.full(n + 1, np.inf)
         start_of = np.zeros(n + 1, dtype=int)
-        for end in range(classes, n + 1):
-            starts = np.arange(classes - 1, end)
+        # The best start does not move back as the end moves on: divide and conquer.
+        spans = [(classes, n, classes - 1, n - 1)]
+        while spans:
+            first, last, lowest, highest = spans.pop()
+            if first > last:
+                continue
+            end = (first + last) // 2
+            starts = np.arange(lowest, min(end - 1, highest) + 1)
             cost = previous[starts] + deviation(starts, end)
-            start_of[end] = starts[cost.argmin()]
+            start_of[end] = start = int(starts[cost.argmin()])
             best[end] = cost.min()
+            spans += [(first, end - 1, lowest, start), (end + 1, last, start, highest)]
         back.append(start_of)
 
     ends = [n]
@@ -107,6 +118,113 @@ def _optimal_cuts(x: np.ndarray, w: np.ndarray, k: int) -> list[int]:
     return [e - 1 for e in reversed(ends)]
 
 
+def natural_breaks_by(
+    df: DataFrame, measure: ColumnLike, k: int, by: Sequence[str]
+) -> dict[tuple, list[float]]:
+    """`natural_breaks` of every group at once, by group. Runs jobs, as many for many groups as for
+    one.
+
+    All groups go through the same rounds. A value is first counted in one of FIRST_BINS equal
+    parts of its group's range; each round the bins worth cutting of all groups are cut into SPLIT
+    parts, and only their values are read again, each moved on from its bin to a part of it. Values
+    are combined within each task by group and bin. The driver receives a group's bins, of which
+    2k + 1 / OPEN_SHARE at most are open, and finds its best classes by divide and conquer. The
+    groups should be few, like the years of a series.
+    """
+    keys = [f"key_{i}" for i in range(len(by))]
+    value = F.col("v")
+    rows = df.select(
+        *[col(c).alias(key) for c, key in zip(by, keys, strict=True)],
+        known(measure).cast("double").alias("v"),
+    ).where(value.isNotNull() & (F.abs("v") < float("inf")))
+    ranges = rows.groupBy(*keys).agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("center")
+    )
+    ranges = staged(ranges, "ranges")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
+    schema = ", ".join([*kinds, "low double", "high double", "bin long", "number long"])
+    first = ranges.select(*keys, "low", "high", F.lit(0).alias("bin"), F.lit(0).alias("number"))
+    now = _moved(rows.withColumn("bin", F.lit(0)), first, keys, FIRST_BINS)
+    bins: dict[tuple, list[tuple]] = {}  # (count, low, high, mean, deviation, number or None)
+    while True:
+        now = staged(now, "values")
+        for group, fresh in _bins(now, ranges, keys).items():
+            bins.setdefault(group, []).extend(fresh)
+        again, gone, breaks = [], [], {}
+        for group, own in bins.items():
+            own.sort(key=lambda b: b[1])
+            cut, breaks[group] = _to_cut(own, k)
+            for b, wanted in zip(own, cut, strict=True):
+                if wanted:  # a bin that was left alone in an earlier round has no number any more
+                    (again if b[5] is not None else gone).append((*group, b[1], b[2], b[5]))
+            bins[group] = [(*b[:5], None) for b, wanted in zip(own, cut, strict=True) if not wanted]
+        if not again and not gone:
+            return breaks
+        again = [(*part, i) for i, part in enumerate(again)]
+        gone = [(*part, len(again) + i) for i, part in enumerate(gone)]
+        parts, lost = (df.sparkSession.createDataFrame(x, schema) for x in (again, gone))
+        now = _moved(now, parts, keys, SPLIT)
+        if gone:
+            named = lost.withColumn("bin", F.col("number"))
+            found = null_safe_join(rows, named.select(*keys, "low", "high", "bin"), keys, "inner")
+            found = found.where(value.between(F.col("low"), F.col("high"))).select(*keys, "v", "bin")
+            now = now.unionByName(_moved(found, named, keys, SPLIT))
+
+
+def _moved(rows: DataFrame, parts: DataFrame, keys: Sequence[str], splits: int) -> DataFrame:
+    """The rows of the bins `parts` (keys, low, high, bin, number), moved on to one of `splits` equal
+    parts of their bin's range, numbered from number * splits."""
+    both = null_safe_join(rows, parts, [*keys, "bin"], "inner")
+    share = F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low"))
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * splits), F.lit(splits - 1))
+    return both.select(*keys, "v", (F.col("number") * splits + part).alias("bin"))
+
+
+def _bins(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> dict[tuple, list[tuple]]:
+    """Per group its bins: count, lowest, highest, mean and squared deviation (both from the
+    group's mean), number."""
+    both = null_safe_join(rows, ranges.select(*keys, "center"), keys, "inner")
+    off = F.col("v") - F.col("center")
+    found = both.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.avg(off).alias("mean"), (F.var_pop("v") * F.count(F.lit(1))).alias("spread"),
+    )
+    out: dict[tuple, list[tuple]] = {}
+    for r in found.collect():
+        group = tuple(r[key] for key in keys)
+        out.setdefault(group, []).append((r["n"], r["low"], r["high"], r["mean"], r["spread"], r["bin"]))
+    return out
+
+
+def _to_cut(own: list[tuple], k: int) -> tuple[np.ndarray, list[float]]:
+    """Which of a group's bins in order have to be cut, and the upper bounds of its classes."""
+    n, low, high, mean, spread = (np.array([b[i] for b in own], dtype=float) for i in range(5))
+    ends = _optimal_cuts(mean, n, min(k, len(own)))
+    near = np.zeros(len(own), dtype=bool)
+    near[ends[:-1]] = True
+    near[[e + 1 for e in ends[:-1]]] = True
+    if len(own) < k:
+        near[:] = True
+    bins = {"n": n, "low": low, "high": high, "mean": mean, "spread": spread}
+    total = _deviation_of(bins, ends) + spread.sum()
+    return (low < high) & (near | (spread > OPEN_SHARE * total)), [float(high[e]) for e in ends]
+
+
+def classify_by(df: DataFrame, measure: str, name: str, breaks: dict[tuple, list[float]], by: Sequence[str]) -> DataFrame:
+    """`df` with the class of each row under its group's breaks; NULL for a missing value, and in a
+    group without breaks."""
+    keys = df.select(*[col(c) for c in by]).schema
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in keys]
+    (bounds,) = unused(df.columns, "bounds")
+    schema = ", ".join([*kinds, f"`{bounds}` array<double>"])
+    table = df.sparkSession.createDataFrame([(*g, b[:-1]) for g, b in breaks.items()], schema)
+    joined = null_safe_join(df, table, by, "left")
+    value = known(measure)
+    above = F.size(F.filter(bounds, lambda b: value > b)) + 1
+    known_class = F.when(value.isNotNull() & F.col(bounds).isNotNull(), above)
+    return joined.withColumn(name, known_class).drop(bounds)
+
+
 def classify(measure: ColumnLike, breaks: list[float]) -> Column:
     """Class number 1..k by upper bounds; NULL for a missing value and for NaN."""
     value = known(measure)

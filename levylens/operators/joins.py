@@ -12,20 +12,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from levylens.functions._column import col
-
-
-def _prefixed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*[col(c).alias(f"_key_{c}") if c in keys else col(c) for c in df.columns])
+from levylens.functions._column import col, quoted, unused
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on same-named keys; the result has the keys of the left side once."""
-    right = _prefixed(right, keys)
+    renamed = dict(zip(keys, unused([*left.columns, *right.columns], *keys), strict=True))
+    right = right.select(*[col(c).alias(renamed.get(c, c)) for c in right.columns])
     condition = reduce(
-        lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`_key_{k}`"]) for k in keys]
+        lambda a, b: a & b,
+        [left[quoted(k)].eqNullSafe(right[quoted(new)]) for k, new in renamed.items()],
     )
-    return left.join(right, condition, how).drop(*[f"_key_{k}" for k in keys])
+    return left.join(right, condition, how).drop(*renamed.values())
 
 
 def left_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -16,9 +16,13 @@ def pivot_longer(
 ) -> DataFrame:
     """Wide to long, keeping missing values. Rows multiply inside their task: no shuffle.
 
-    An unpivot of one column is a plain projection; the optimizer would not reduce it itself.
+    An unpivot of one column is a plain projection; the optimizer would not reduce it itself. The
+    two new names must differ from those of the columns that stay.
     """
     ids = [c for c in df.columns if c not in columns]
+    names = [c.lower() for c in [*ids, names_to, values_to]]
+    if len(set(names)) < len(names):
+        raise ValueError(f"{names_to} or {values_to} is the name of a column that stays")
     if len(columns) == 1:
         return df.select(
             *[col(c) for c in ids],

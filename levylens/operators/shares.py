@@ -54,12 +54,53 @@ def column_percent(
     return df.withColumns({c: ratio(c, total) for c, total in totals.items()})
 
 
-def totals_row(df: DataFrame, label: str = "Total", fill: str = "-") -> DataFrame:
+def with_total(
+    df: DataFrame, by: Sequence[str], sums: dict[str, Column], label: str = "Total", fill: str = "-"
+) -> DataFrame:
+    """Sums or counts per group and, in a last row, over all groups: one pass over the rows.
+
+    The groups are aggregated first, each task combining its own rows; only they are grouped again,
+    by themselves and all together. `label` stands in the first key of the total, `fill` in others
+    that are text.
+    """
+    groups = df.groupBy(*[col(k) for k in by]).agg(*[c.alias(n) for n, c in sums.items()])
+    return totals_row(groups, label, fill, bounded=True)
+
+
+def _totals_in_one_pass(df: DataFrame, label: str, fill: str) -> DataFrame:
+    first = df.columns[0]
+    numeric = [c for c in _numeric(df) if c != first]
+    row, level = unused(df.columns, "row", "level")
+    keys = [F.col(row), *[col(c) for c in df.columns if c not in numeric]]
+    total = F.grouping_id() > 0
+    cells = [
+        F.when(total, sum0(c)).otherwise(F.any_value(col(c))).alias(c) for c in numeric
+    ]
+    out = df.withColumn(row, F.monotonically_increasing_id())
+    out = out.groupingSets([keys, []], *keys).agg(F.grouping_id().alias(level), *cells)
+
+    def cell(name: str) -> Column:
+        if name in numeric:
+            return col(name)
+        text, in_total = col(name), F.lit(label if name == first else fill)
+        own = text.cast("string") if name == first else text
+        return F.when(F.col(level) > 0, in_total).otherwise(own).alias(name)
+
+    return out.orderBy(level, row).select(*[cell(c) for c in df.columns])
+
+
+def totals_row(
+    df: DataFrame, label: str = "Total", fill: str = "-", bounded: bool = False
+) -> DataFrame:
     """Append a row of column totals: label in the first column, `fill` in other text columns.
 
     The first column becomes text when it is not, since it has to hold the label. A column of
-    totals has the type of its sum.
+    totals has the type of its sum. The default computes the input twice, for its rows and for
+    their sums. A bounded input is computed once, its rows and their total being two grouping sets;
+    without rows it then has no total either.
     """
+    if bounded:
+        return _totals_in_one_pass(df, label, fill)
     first = df.columns[0]
     numeric = [c for c in _numeric(df) if c != first]
     sums = df.agg(*[sum0(c).alias(c) for c in numeric])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import FractionalType
 
 from levylens.functions._column import col, unused
 from levylens.functions.aggregates import known
@@ -17,7 +18,8 @@ def slice_max(
 ) -> DataFrame:
     """Rows with the n largest values, per group if `by` is given; all ties of the n-th stay.
 
-    Rows without a value never qualify. See `_slice` for the two plans.
+    The measure is of any type with an order: numbers, dates, text. Rows without a value never
+    qualify. See `_slice` for the two plans.
     """
     return _slice(df, measure, n, by, bounded, largest=True)
 
@@ -41,7 +43,7 @@ def _slice(
     change when recomputed. NaN counts as missing.
     """
     value = col(measure)
-    present = df.where(known(value).isNotNull())
+    present = df.where(_present(df, measure).isNotNull())
     order = value.desc() if largest else value.asc()
     keys = [col(k) for k in by]
     row, limit_name = unused(df.columns, "row", "limit")
@@ -63,6 +65,12 @@ def _slice(
     return joined.where(reaches(F.col(limit_name))).drop(limit_name)
 
 
+def _present(df: DataFrame, measure: str) -> Column:
+    """The measure, with NULL for NaN where its type has one."""
+    kind = df.select(col(measure)).schema[0].dataType
+    return known(measure) if isinstance(kind, FractionalType) else col(measure)
+
+
 def slice_head(
     df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -78,8 +86,8 @@ def slice_head(
 
 
 def arrange_desc(df: DataFrame, measure: str) -> DataFrame:
-    """Largest first, missing values last."""
-    return df.orderBy(col(measure).desc_nulls_last())
+    """Largest first, missing values last, NaN among them."""
+    return df.orderBy(_present(df, measure).desc_nulls_last())
 
 
 def reorder_by_mean(df: DataFrame, category: str, measure: str) -> DataFrame:

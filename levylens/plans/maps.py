@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from levylens.constants import AGI, CITY_COUNTIES
-from levylens.functions import log10, not_in
+from levylens.constants import AGI, CITY_COUNTIES, RETURNS
+from levylens.functions import log10, not_in, ratio, sum0
 from levylens.operators import dimension_left_join, left_join
-from levylens.operators.classes import classify, natural_breaks
-from levylens.plans.sales import fourth_quarter
+from levylens.operators.classes import classify, classify_by, natural_breaks, natural_breaks_by
+from levylens.plans.sales import AMOUNT, fourth_quarter
 
 
 def county_map(
@@ -30,6 +30,27 @@ def county_classes(mapped: DataFrame, k: int = 5, log: bool = False) -> DataFram
     return mapped.withColumn("class", classify(measure, natural_breaks(mapped, measure, k)))
 
 
+def county_classes_by_year(counties: DataFrame, k: int = 5, log: bool = False) -> DataFrame:
+    """Every year's counties with the natural-break class of their income among that year's, all
+    years in the same jobs. Give a stored table."""
+    measure = log10(AGI) if log else F.col(AGI)
+    rows = counties.withColumn("measured", measure)
+    breaks = natural_breaks_by(rows, "measured", k, ["tax_year"])
+    return classify_by(rows, "measured", "class", breaks, ["tax_year"]).drop("measured")
+
+
+def sales_per_return(counties: DataFrame, sales: DataFrame) -> DataFrame:
+    """Taxable sales per income tax return by year and county.
+
+    `sales` has the columns tax_year, county and the amount as a number. Where both tables are
+    bucketed by year and county nothing is shuffled, neither for the sum nor for the join.
+    """
+    by = ["tax_year", "county"]
+    totals = sales.groupBy(*by).agg(sum0(AMOUNT).alias("total_rev"))
+    joined = counties.select(*by, RETURNS).join(totals, by)
+    return joined.select(*by, RETURNS, "total_rev", ratio("total_rev", RETURNS).alias("per_return"))
+
+
 def top_industry_map(boundary: DataFrame, top_industry: DataFrame) -> DataFrame:
     """County boundaries outside New York City with each year's top industry.
 

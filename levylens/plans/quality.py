@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from levylens.constants import AGI, MISLABELLED_HAMILTON_AGI_K
 from levylens.operators import (
-    anti_join, count_rows, distinct_rows, first_per_key, intersect_keys, setdiff_keys,
+    Presence, anti_join, bind_rows, count_rows, distinct_rows, first_per_key, intersect_keys, presence,
+    setdiff_keys,
 )
 from levylens.plans.sales import county_names
 
@@ -29,6 +30,21 @@ def first_row_per_county(counties: DataFrame, year: int) -> DataFrame:
     return first_per_key(plausible.where(F.col("tax_year") == year), ["county"])
 
 
+def coverage(counties: DataFrame) -> Presence:
+    """Which counties have a plausible row in which year, from one pass over the table."""
+    plausible = counties.where(F.col(AGI) != MISLABELLED_HAMILTON_AGI_K * 1000)
+    return presence(plausible, ["county"], ["tax_year"])
+
+
+def names_only_in_first(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The county names of one table that another lacks, from the bitmaps of both."""
+    both = bind_rows(
+        *[t.select("county", F.lit(i).alias("side")) for i, t in enumerate((first, second))]
+    )
+    names = presence(both, ["county"], ["side"])
+    return names.only_in(F.col("side") == 0, F.col("side") == 1)
+
+
 def counties_in_both(counties: DataFrame, year: int, other_year: int) -> DataFrame:
     return intersect_keys(
         first_row_per_county(counties, year), first_row_per_county(counties, other_year), "county"

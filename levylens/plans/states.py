@@ -126,7 +126,7 @@ def top_states(
 
 def state_totals(table: DataFrame, year: int = 2019) -> DataFrame:
     """The states of a year and a row of totals."""
-    return totals_row(table.where(F.col("tax_year") == year))
+    return totals_row(table.where(F.col("tax_year") == year), bounded=True)
 
 
 def legacy_state_groups(raw_v1: DataFrame, raw_v2: DataFrame) -> DataFrame:

@@ -23,13 +23,20 @@ SETTINGS = {
 }
 
 
-def session(app: str = "levylens", extra: Mapping[str, str] | None = None) -> SparkSession:
+def session(
+    app: str = "levylens",
+    extra: Mapping[str, str] | None = None,
+    shared_folder: str | None = None,
+) -> SparkSession:
     """The current session, or a new one with SETTINGS and `extra` on top.
 
-    `fit_shuffles` raises the number of shuffle partitions for large inputs.
+    Results used twice are written below `shared_folder`, a folder that the driver and all executors
+    reach (on a cluster it has to be named here or as `spark.checkpoint.dir`; a single process takes
+    one of its own). `fit_shuffles` raises the number of shuffle partitions for large inputs.
     """
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    shared = {} if shared_folder is None else {"spark.checkpoint.dir": shared_folder}
+    for key, value in {**SETTINGS, **shared, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

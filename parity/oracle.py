@@ -16,6 +16,7 @@ from levylens.sources.reference import literal, values
 from parity.queries import (
     JURISDICTION, MEASURE_KEYS, RATE_YEARS, SALES_YEAR, TEN_STATES, YEAR,
 )
+from parity.features import TABLE_FEATURES, VERB_FEATURES
 from parity.verbs import VERBS
 
 
@@ -650,5 +651,6 @@ def oracle_sql() -> dict[str, str]:
         # The class search adds its own table expressions after the shared ones.
         prefix = _statement("SELECT * FROM year_map").rsplit("\nSELECT", 1)[0]
         statements[name] = prefix + _classes(value)
-    statements.update({name: text for name, (_, text) in VERBS.items()})
+    statements.update({name: _statement(text) for name, (_, text) in TABLE_FEATURES.items()})
+    statements.update({name: text for name, (_, text) in (VERBS | VERB_FEATURES).items()})
     return statements

@@ -17,8 +17,9 @@ from levylens.functions import date_lit
 from levylens.operators import arrange_desc
 from levylens.plans import income, maps, publish, quality, sales, states, views
 from levylens.session import fit_shuffles
-from levylens.sources import order_tables, readers, schemas, sinks
+from levylens.sources import order_tables, readers, sinks, snapshots
 from levylens.sources.reference import state_centers
+from parity import features
 from parity.verbs import VERBS, Reader, reader
 
 YEAR = 2000
@@ -40,7 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # last bit of a floating-point sum decides.
 MONEY, EXACT, SUMMED = 4, 6, 2
 _DECIMALS = {
-    "share": 10,
+    "share": 10, "per_return": 8,
     "value": EXACT, "mean_value": EXACT, "width": EXACT,
     "min": EXACT, "q1": EXACT, "median": EXACT, "q3": EXACT, "max": EXACT,
     "mean": SUMMED, "total": SUMMED,
@@ -119,11 +120,12 @@ def _publish_roundtrip(t: Tables) -> DataFrame:
     """Build and export everything, then read it back: rows and value total of each table."""
     root = sinks.shared_folder(t.spark, "publish")
     publish.build(t.v1, t.v2, t.sales, root, RATE_YEARS)
+    folder = snapshots.current(t.spark, root)
     names = [
         "region_per_return", "effective_rate", "resident_share", "state_share", "industry_share",
     ]
-    tables = readers.bundle(t.spark, f"{root}/dashboard", names)
-    base = readers.bundle(t.spark, f"{root}/base", ["county_income", "states"])
+    tables = readers.bundle(t.spark, f"{folder}/{publish.DASHBOARD}", names)
+    base = readers.bundle(t.spark, f"{folder}/{publish.BASE}", ["county_income", "states"])
     csv = publish.export(tables["region_per_return"], base["county_income"], base["states"], root)
     tables["csv"] = readers.dimension_csv(t.spark, csv, tables["region_per_return"].schema)
     for sheet, name in (("NY Counties", "county_income"), ("States", "states")):
@@ -141,14 +143,6 @@ def _publish_roundtrip(t: Tables) -> DataFrame:
     return out
 
 
-def _json_pages(t: Tables) -> DataFrame:
-    """The sales written as pages of JSON and read again by the portal's reader."""
-    root = sinks.shared_folder(t.spark, "pages")
-    t.only(SALES_START).sales.write.json(root)
-    pages = readers.open_data(t.spark, root, schemas.SALES, one_array_per_file=False)
-    return sales.industry_totals(pages, JURISDICTION, SALES_YEAR)
-
-
 def _exports(t: Tables) -> DataFrame:
     """Each download of the dashboard, written as CSV and read again: rows and value total."""
     rows = t.counties
@@ -317,7 +311,7 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     q["quarterly_series_since"] = lambda t: sales.quarterly_series(t.sales).where(
         F.col("date") >= date_lit("1998-01-01")
     )
-    q["json_pages"] = _json_pages
+    q["json_pages"] = features._json_pages
     q["exports"] = _exports
     q["measure_summary_overall"] = lambda t: income.measure_summary(
         t.counties, LIABILITY, by_year=False, bounded=True
@@ -345,5 +339,7 @@ def queries() -> dict[str, Query]:
 
     return {
         **{name: analysis(build) for name, build in _table_queries().items()},
+        **{name: analysis(build) for name, (build, _) in features.TABLE_FEATURES.items()},
         **{name: verb(build) for name, (build, _) in VERBS.items()},
+        **{name: verb(build) for name, (build, _) in features.VERB_FEATURES.items()},
     }

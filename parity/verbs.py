@@ -228,4 +228,4 @@ VERBS: dict[str, tuple[Callable[[Reader], DataFrame], str]] = {
 
 
 def reader(spark: SparkSession, folder: str) -> Reader:
-    return lambda name: readers.table(spark, f"{folder}/{name}.parquet")
+    return lambda name: readers.table_again(spark, f"{folder}/{name}.parquet")

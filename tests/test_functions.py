@@ -132,3 +132,23 @@ def test_formats(spark):
 def test_paste_writes_missing_parts(spark):
     df = spark.createDataFrame([("2013", None)], "a string, b int")
     assert df.select(f.paste("a", "b", sep="/")).first()[0] == "2013/NA"
+
+
+def test_missing_numbers_have_no_text(spark):
+    from levylens.functions import comma, dollar, percent_label, percent_text, rounded_text, unit_label
+
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.125,)], "x double")
+    made = [rounded_text("x"), percent_text("x"), percent_label("x"), comma("x", 1), dollar("x"), unit_label("x", "T")]
+    got = [tuple(r) for r in df.select(*made).collect()]
+    assert got[0] == got[1] == (None,) * 6
+    assert got[2][:3] == ("0.12", "12.50%", "12%")
+
+
+def test_malformed(spark):
+    from levylens.functions import malformed
+
+    cells = ["1", " 2.5 ", "1e3", "n/a", "1,000", "", "  ", "NA", "NaN", None, "1d", "-", "Infinity"]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+    got = [r[0] for r in df.select(malformed("x")).collect()]
+    assert [c for c, bad in zip(cells, got) if bad] == ["n/a", "1,000", "1d", "-"]
+    assert None not in got

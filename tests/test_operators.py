@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from levylens import operators as v
 from levylens.functions import sum0
-from levylens.operators.classes import classify, natural_breaks
+from levylens.operators.classes import classify, classify_by, natural_breaks, natural_breaks_by
 
 
 def rows(df):
@@ -302,3 +302,67 @@ def test_classify(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "x double")
     assert [r[0] for r in df.select(classify("x", [1.0, 2.0, 3.0])).collect()] == [1, 2, 3, None]
     assert df.select(classify("x", [])).first()[0] is None
+
+
+def test_top_n_of_dates_and_text(spark):
+    df = spark.createDataFrame(
+        [("a", "2020-01-05", 1), ("b", "2020-03-01", 1), ("c", None, 2), ("d", "2020-03-01", 2)],
+        "name string, day string, g int",
+    ).withColumn("day", F.to_date("day"))
+    assert {r.name for r in v.slice_max(df, "day", 1).collect()} == {"b", "d"}
+    assert {r.name for r in v.slice_min(df, "day", 1, by=["g"], bounded=True).collect()} == {"a", "d"}
+    assert {r.name for r in v.slice_max(df, "name", 2).collect()} == {"c", "d"}
+
+
+def test_joins_keep_columns_named_like_keys(spark):
+    left = spark.createDataFrame([(1, "own"), (None, "none")], "k int, _key_k string")
+    right = spark.createDataFrame([(1, "other"), (None, "null")], "k int, x string")
+    joined = v.left_join(left, right)
+    assert joined.columns == ["k", "_key_k", "x"]
+    assert {tuple(r) for r in joined.collect()} == {(1, "own", "other"), (None, "none", "null")}
+    assert v.semi_join(left, right, ["k"]).columns == ["k", "_key_k"]
+    assert v.anti_join(left, right, ["k"]).count() == 0
+
+
+def test_nan_is_arranged_last(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    got = [r.x for r in v.arrange_desc(df, "x").collect()]
+    assert got[:2] == [3.0, 1.0]
+
+
+def test_pivot_longer_refuses_names_of_columns_that_stay(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "variable int, a int, b int")
+    with pytest.raises(ValueError):
+        v.pivot_longer(df, ["a", "b"])
+    assert v.pivot_longer(df, ["a", "b"], names_to="measure").count() == 2
+
+
+def test_breaks_of_all_groups_at_once(spark):
+    """As one group after the other, in as many jobs for twenty groups as for two."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(20):
+        center = 10.0 ** rng.randint(-3, 9)
+        for _ in range(rng.choice([1, 3, 6, 200])):
+            rows.append((g if g else None, rng.choice([center, -center, rng.gauss(0, 1) * center, None, float("nan")])))
+    rows += [(99, None), (98, 5.0), (98, 5.0)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(4).cache()
+    found = natural_breaks_by(df, "x", 4, ["g"])
+    for g in {r[0] for r in rows}:
+        one = natural_breaks(df.where(F.col("g").eqNullSafe(F.lit(g).cast("int"))), "x", 4)
+        assert found.get((g,), []) == pytest.approx(one), g
+    out = classify_by(df, "x", "class", found, ["g"])
+    for g, x, c in out.collect():
+        above = sum(x > b for b in found[g,][:-1]) if x is not None and x == x else None
+        assert c == (None if above is None else above + 1)
+
+    def jobs(groups):
+        tracker, name = spark.sparkContext.statusTracker(), f"breaks-{groups}"
+        spark.sparkContext.setJobGroup(name, name)
+        spread = spark.range(2000).selectExpr(f"id % {groups} AS g", "double(id * 7919 % 2003) AS x")
+        natural_breaks_by(spread, "x", 4, ["g"])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs(20) < 2 * jobs(2)  # the rounds of the group that needs most
+    df.unpersist()

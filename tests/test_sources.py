@@ -5,7 +5,7 @@ import os
 import pytest
 
 from levylens.plans import publish
-from levylens.sources import order_tables, readers, schemas, sinks
+from levylens.sources import order_tables, readers, schemas, sinks, snapshots
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,14 +43,15 @@ def test_build_and_export(spark, tmp_path):
             order_tables.raw_income_v1, order_tables.raw_income_v2, order_tables.raw_sales,
         )
     ]
-    publish.build(*raw, root, rate_years=(1996, 1998))
-    names = sorted(os.listdir(f"{root}/dashboard"))
-    tables = readers.bundle(spark, f"{root}/dashboard", names)
+    folder = publish.build(*raw, root, rate_years=(1996, 1998))
+    assert folder == snapshots.current(spark, root)
+    names = sorted(os.listdir(f"{folder}/dashboard"))
+    tables = snapshots.opened(spark, root, names, publish.DASHBOARD)
     assert names == [
         "effective_rate", "industry_share", "region_per_return", "resident_share", "state_share",
     ]
     assert all(df.count() for df in tables.values())
-    base = readers.bundle(spark, f"{root}/base", ["county_income", "states"])
+    base = readers.bundle(spark, f"{folder}/base", ["county_income", "states"])
     day = datetime.date(2022, 5, 27)
     path = publish.export(
         tables["region_per_return"], base["county_income"], base["states"], root, day
