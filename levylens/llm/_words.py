@@ -1,34 +1,28 @@
-"""Words and word shingles of UTF-8 text as 64-bit hashes, vectorised over whole Arrow batches.
+"""Words and word shingles of UTF-8 text as 64-bit hashes.
 
 A word is a run of bytes other than blank, tab and the line separators 0x0A-0x0D; A-Z count as
-a-z. No text is cut: long documents are hashed piece by piece between words.
+a-z. Whole words are hashed, and no text is cut.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+PIECE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 1 << 18
 _U = np.uint64
 
 
-def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    if base not in known or len(known[base]) < n:
-        steps = np.full(max(n, PIECE_BYTES + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        known[base] = np.multiply.accumulate(steps)
-    return known[base]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Each 64-bit value scrambled one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -58,66 +52,77 @@ def parts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBa
         at = end
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; the spans follow one another and cover `raw`."""
-    out, first = [], 0
-    while first < len(starts):  # in pieces, so that the running sums stay in the cache
-        last = int(np.searchsorted(ends, starts[first] + PIECE_BYTES, side="right"))
-        last = max(last, first + 1)
-        base, stop = starts[first], ends[last - 1]
-        total = np.zeros(stop - base + 1, dtype=np.uint64)
-        letters = raw[base:stop].astype(np.uint64) + _U(1)
-        np.cumsum(letters * _powers(_BASE, stop - base)[: stop - base], out=total[1:])
-        a, b = starts[first:last] - base, ends[first:last] - base
-        sums = (total[b] - total[a]) * _powers(_INVERSE, stop - base)[a]
-        out.append(mixed(sums ^ (b - a).astype(np.uint64)))
-        first = last
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
-
-
-def _hashed(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of one piece and the byte each starts at; no word crosses a cut."""
-    solid = ~_GAP[raw]
-    if not solid.any():
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
-    first[cuts] = solid[cuts]
-    last[cuts - 1] = solid[cuts - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    letters = _LOWER[raw].astype(np.uint64) + _U(1)
-    np.cumsum(letters * _powers(_BASE, len(raw))[: len(raw)], out=total[1:])
-    sums = (total[end] - total[start]) * _powers(_INVERSE, len(raw))[start]
-    return mixed(sums ^ (end - start).astype(np.uint64)), start
+def _powers(n: int, base: int = _BASE, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    if base not in known or len(known[base]) < n:
+        steps = np.full(max(n, 2 * PIECE_BYTES), base, dtype=np.uint64)
+        steps[0] = 1
+        known[base] = np.multiply.accumulate(steps)
+    return known[base][:n]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and, per document, where its words begin (n + 1 offsets)."""
-    hashes, starts, at = [], [], 0
-    while at < len(raw):
+def distinct_spans(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The index of one of each of the different spans, and for every span which of these it is.
+
+    Spans, which do not overlap, are grouped by a polynomial hash; what it groups is compared byte
+    by byte, so that it need not be trusted.
+    """
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * _powers(len(raw)), out=total[1:])
+    keys = (total[ends] - total[starts]) * _powers(len(raw), _INVERSE)[starts]
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    size, like = ends - starts, first[which]
+    if (size == size[like]).all():
+        before = np.cumsum(size) - size
+        at = np.repeat(starts - before, size) + np.arange(size.sum())
+        if (raw[at] == raw[at + np.repeat(starts[like] - starts, size)]).all():
+            return first, which
+    data, known = raw.tobytes(), {}  # different spans have the same hash
+    spans = zip(starts.tolist(), ends.tolist(), strict=True)
+    which = np.array([known.setdefault(data[a:b], len(known)) for a, b in spans])
+    return np.unique(which, return_index=True)[1], which
+
+
+def new_key() -> bytes:
+    """A key that nobody who writes texts knows, so that none can make two words hash alike."""
+    return secrets.token_bytes(16)
+
+
+def _hashed(raw: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed 64-bit hashes of the words of one piece, and where each starts."""
+    solid = np.concatenate([[False], ~_GAP[raw], [False]])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    low = _LOWER[raw]
+    first, which = distinct_spans(low, starts, ends)
+    data = low.tobytes()
+    spans = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
+    found = b"".join([blake2b(data[a:b], digest_size=8, key=key).digest() for a, b in spans])
+    return np.frombuffer(found, dtype="<u8")[which], starts
+
+
+def words(texts: list[str | None], key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words under `key` and, per text, where its words begin (n + 1 offsets)."""
+    encoded = [(t or "").encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(encoded), dtype=np.uint8)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in encoded)])
+    hashes, starts, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(raw):  # piece by piece between words, however long a word is
         end = min(at + PIECE_BYTES, len(raw))
-        if end < len(raw):  # between two words, however long the word is
+        while end < len(raw):
             gaps = np.flatnonzero(_GAP[raw[at:end]])
-            cut = offsets[np.searchsorted(offsets, end, side="right") - 1]
-            if cut > at:
-                end = int(cut)
-            elif len(gaps):
+            if len(gaps):
                 end = at + int(gaps[-1]) + 1
-            else:
-                tail = np.flatnonzero(_GAP[raw[end:]])
-                stop = offsets[np.searchsorted(offsets, end, side="left")]
-                end = int(min(stop, end + tail[0] if len(tail) else len(raw)))
-        inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)]
-        h, s = _hashed(raw[at:end], inside - at)
+                break
+            end = min(end + PIECE_BYTES, len(raw))
+        h, s = _hashed(raw[at:end], key)
         hashes.append(h)
         starts.append(s + at)
         at = end
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), bounds)
 
 
 def _folded(parts: list[np.ndarray]) -> np.ndarray:
@@ -143,8 +148,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> Iterator[np.nd
             yield hashes[:0]
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int, key: bytes) -> Iterator[np.ndarray]:
     """Per text its distinct shingles in ascending order."""
-    raw, offsets = buffers(column)
-    for one in shingles(*words(raw, offsets), size):
+    for one in shingles(*words(column.to_pylist(), key), size):
         yield np.unique(one)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from levylens.llm._words import (
-    buffers, mixed, parts, shingle_sets, shingles, words as word_hashes,
+    mixed, new_key, parts, shingle_sets, shingles, words as word_hashes,
 )
 
 VALUES = 64
@@ -82,12 +82,12 @@ def _short(places: np.ndarray) -> np.ndarray:
     return (places >> np.uint64(32)).astype(np.uint32)
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, size: int, key: bytes) -> Iterator[Block]:
     """All items in blocks of at most BLOCK_SHINGLES shingles (one item at least)."""
     ids: list[int] = []
     sets: list[np.ndarray] = []
     for item_id, text in items.toLocalIterator():
-        one = next(shingle_sets(pa.array([text], pa.string()), size))
+        one = next(shingle_sets(pa.array([text], pa.string()), size, key))
         if not len(one):
             continue
         if ids and sum(map(len, sets)) + len(one) > BLOCK_SHINGLES:
@@ -108,13 +108,15 @@ def contained_items(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    key: bytes | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared_shingles), one row per document and item with
     100 * shared >= percent * item shingles, over the sets of distinct shingles of `words` words.
 
     Fewer words than `words` make one shingle of the whole sequence, which only a text of the same
     words has. Null and wordless texts are in no row, neither are rows without id; repeated rows
-    are reported once each. Other columns are not read. The items are streamed through the driver
+    are reported once each. Other columns are not read. Words are compared by 64-bit hashes under
+    `key`, which is drawn anew if none is given. The items are streamed through the driver
     in blocks of BLOCK_SHINGLES; each block is one pass over the documents.
     """
     spark = docs.sparkSession
@@ -126,12 +128,13 @@ def contained_items(
     test = test.filter("item_id is not null and text is not null").distinct()
     schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(test, words):
-        out = out.unionByName(own.mapInArrow(_search(spark, block, words, percent), schema))
+    key = key or new_key()
+    for block in _blocks(test, words, key):
+        out = out.unionByName(own.mapInArrow(_search(spark, block, words, percent, key), schema))
     return out
 
 
-def _search(spark, block: Block, size: int, percent: int):
+def _search(spark, block: Block, size: int, percent: int, key: bytes):
     sent = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +142,8 @@ def _search(spark, block: Block, size: int, percent: int):
         for batch in batches:
             for part in parts(batch, 1, PART_BYTES):
                 rows = []
-                raw, offsets = buffers(part.column(1))
-                sequences = list(shingles(*word_hashes(raw, offsets), size))
+                texts = part.column(1).to_pylist()
+                sequences = list(shingles(*word_hashes(texts, key), size))
                 first = np.cumsum([0, *map(len, sequences)])
                 if first[-1]:
                     hits: dict[int, list[int]] = {}

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from levylens.llm._graph import components
-from levylens.llm._words import mixed, parts, shingle_sets
+from levylens.llm._words import mixed, new_key, parts, shingle_sets
 from levylens.sources.sinks import staged
 
 BANDS, ROWS, STEP = 40, 5, 32
 VALUES = BANDS * ROWS
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 TILE = 2048  # members of a tile, and
 TILE_SHINGLES = 1 << 21  # their shingles, on average
 _SEED = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -62,14 +62,14 @@ def fewest_matches(similarity: float, miss: float) -> dict[int, int]:
     return out
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, key: bytes) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) per row; digest and sig are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "digest", "sig"]
         for part in (p for batch in batches for p in parts(batch, 1, PART_BYTES)):
             sizes, digests, sigs = [], [], []
-            for s in shingle_sets(part.column(1), words):
+            for s in shingle_sets(part.column(1), words, key):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
@@ -77,19 +77,23 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             columns += [pa.array(x, pa.binary()) for x in (digests, sigs)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
+    )
     return own.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, key: bytes) -> DataFrame:
+    """(digest, shingles) per row of (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts(batch, 1, PART_BYTES)):
-            sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
+            sets = [s.tobytes() for s in shingle_sets(part.column(1), words, key)]
             digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            columns = [part.column(0), *(pa.array(x, pa.binary()) for x in (digests, sets))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "shingles"])
+            columns = [pa.array(x, pa.binary()) for x in (digests, sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "shingles"])
 
-    return docs.mapInArrow(run, "node long, digest binary, shingles binary")
+    return docs.mapInArrow(run, "digest binary, shingles binary")
 
 
 def _kept_by_posterior(left: np.ndarray, right: np.ndarray, fewest: dict[int, int]) -> np.ndarray:
@@ -198,6 +202,7 @@ def near_duplicates(
     miss: float = 1e-5,
     id_col: str = "doc_id",
     text_col: str = "text",
+    key: bytes | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`. Runs jobs.
 
@@ -206,20 +211,18 @@ def near_duplicates(
     id reachable over links and kept tells whether it is the row's own.
 
     A null or wordless text has an empty set (n_shingles 0) and is linked with nothing. A row
-    without id takes no part: its component_id is null and it is kept. Ids should be unique: where
-    one is the smallest of several different sets, the set with the smallest digest is compared
-    with other documents on behalf of all. Other columns of `docs` are not read. An empty table
-    gives an empty result.
+    without id takes no part: its component_id is null and it is kept. Where an id is repeated, each
+    of its texts is linked on its own: its component is that of the row's text. Other columns of
+    `docs` are not read. An empty table gives an empty result. Words are compared by 64-bit hashes
+    under `key`, which is drawn anew if none is given.
     """
-    fewest = fewest_matches(similarity_percent / 100, miss)
-    sketch = staged(sketches(docs, words, id_col, text_col), "sketches")
+    fewest, key = fewest_matches(similarity_percent / 100, miss), key or new_key()
+    sketch = staged(sketches(docs, words, id_col, text_col, key), "sketches")
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    rep = F.min(F.struct(F.col("doc_id").alias("node"), "n_shingles", "sig")).alias("rep")
-    classes = staged(known.groupBy("digest").agg(rep).select("digest", "rep.*"), "classes")
-    nodes = classes
-    if not classes.groupBy("node").count().filter("count > 1").isEmpty():  # ids are repeated
-        text = F.min(F.struct("digest", "n_shingles", "sig")).alias("text")
-        nodes = staged(classes.groupBy("node").agg(text).select("node", "text.*"), "nodes")
+    rep = F.min(F.struct("doc_id", "n_shingles", "sig")).alias("rep")
+    nodes = known.groupBy("digest").agg(rep).select("digest", "rep.*")
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
     keys = [
         F.struct(
@@ -236,12 +239,15 @@ def near_duplicates(
     )
     buckets = staged(sizes.filter("size > 1"), "buckets")
     members = staged(bands.drop("n_shingles").join(buckets, "bucket"), "members")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    shared = staged(members.select("node").distinct(), "shared")
-    sets = _sets(texts.join(shared, "node", "left_semi"), words)
-    if nodes is not classes:
-        sets = sets.join(nodes, ["node", "digest"], "left_semi").dropDuplicates(["node"])
-    sets = staged(sets, "sets")
+    texts = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
+    )
+    shared = members.select("node").distinct().join(nodes, "node")
+    shared = staged(shared.select("node", "doc_id", "digest"), "shared")
+    sets = _sets(texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), words, key)
+    if repeated:  # an id's other texts are not asked for, nor is a text twice
+        sets = sets.join(shared.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = staged(sets.join(shared.select("digest", "node"), "digest"), "sets")
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = staged(
@@ -261,10 +267,12 @@ def near_duplicates(
     if not more.isEmpty():
         roots = staged(components(links.unionByName(more)), "components")
 
-    joined = classes.select("digest", "node").join(roots, "node", "left")
-    joined = joined.select("digest", F.coalesce("component", "node").alias("root"))
+    joined = nodes.select("digest", "node", F.col("doc_id").alias("smallest"))
+    joined = joined.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    names = joined.groupBy("root").agg(F.min("smallest").alias("name"))
+    joined = joined.join(staged(names, "names"), "root").select("digest", "name")
     out = sketch.select("doc_id", "n_shingles", "digest").join(joined, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",

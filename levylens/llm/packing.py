@@ -5,7 +5,7 @@ The sequences of a group are opened with exactly as much capacity as the group h
 ones, and at the end of a partition the powers of two that the rest consists of, which need no
 padding either. Pieces are taken in descending order of length, and each goes to the sequence with
 the lowest cost that still has room for it. Where none has room for the whole piece, it is cut: a
-part fills the sequence with the most room, and the rest is placed in the same way.
+part fills the sequence with the most room, and the rest waits for its turn by length.
 
 Each task packs its own documents in groups of bounded size, so nothing is shuffled and no table
 is gathered. A sequence's number is made of the partition's and a count.
@@ -13,22 +13,25 @@ is gathered. A sequence's number is made of the partition's and a count.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from levylens.llm._words import buffers, parts, span_hashes
+from levylens.llm._words import buffers, distinct_spans, parts
 
 LENGTH = 1024
 GROUP_TOKENS = 1 << 19
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-CACHED_PARTS = 2_000_000
+CACHED_PARTS, CACHED_BYTES = 1_000_000, 1 << 26
+SIGNS = b".,;:!?"
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
     " offset long, sequence_length long, cost double"
@@ -36,13 +39,15 @@ SCHEMA = (
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file, with the ids of words between blanks remembered.
-
-    No token reaches across a blank that stands between two other characters, but for the one that
-    begins with it. A text is cut before each blank, the parts are looked up by a 64-bit hash of
-    their bytes, and those that were not met yet are encoded together and told apart by the bytes
-    of their tokens. Texts with other white space next to a blank are encoded as they are. Strings
-    of special tokens in a text are ordinary text.
+    """Token ids of texts by a tokenizer file, with the ids of words remembered.
+
+    No token reaches across a blank or a line feed that stands alone between two other characters,
+    but for the one that begins with the blank; nor from an ASCII letter or digit to a sign of SIGNS
+    after it. Texts are cut there. Equal words of a slice are found by a hash and told from others by
+    their bytes; the different ones are looked up by their bytes, and those that were not met yet
+    are encoded together and told apart by the bytes of their tokens. Texts with other white space
+    next to a blank or line feed are encoded as they are. Strings of special tokens in a text are
+    ordinary text.
     """
 
     def __init__(self, path: str):
@@ -56,78 +61,110 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)  # in order, with the place and number of ids
-        self.at, self.n, self.pool = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.places: dict[bytes, int] = {}  # of words in the lists below
+        self.at, self.n, self.pool = (Growing() for _ in range(3))  # ids of word i: pool[at : at + n]
+        self.held = 0
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.int64) for x in found]
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        """Remember parts; those next to white space with -1 ids."""
-        text = [x.decode() for x in parts]
-        bare = [x[1:] if x[0] == " " else x for x in text]
-        even = np.array([bool(x) and not (x[0].isspace() or x[-1].isspace()) for x in bare])
-        word = even & np.array([x[0] == " " for x in text])
-        at, n = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), -1)
-        new = []
-        if word.any():
-            inside = np.flatnonzero(word)
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember words; those next to white space with -1 ids."""
+        text = [w.decode() for w in words]
+        bare = [w[1:] if w[0] == " " else w for w in text]
+        even = np.array([w == "\n" or bool(b) and not (b[0].isspace() or b[-1].isspace())
+                         for w, b in zip(text, bare, strict=True)])
+        spaced = even & np.array([w[0] == " " for w in text])
+        at, n = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
+        new, end = [], len(self.pool)
+        if spaced.any():
+            inside = np.flatnonzero(spaced)
             ids = self.plain(["".join(text[i] for i in inside)])[0]
-            ends = np.cumsum([len(parts[i]) for i in inside])
+            ends = np.cumsum([len(words[i]) for i in inside])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            at[inside] = np.concatenate([[0], cuts[:-1]])
-            n[inside] = cuts - at[inside]
+            at[inside] = end + np.concatenate([[0], cuts[:-1]])
+            n[inside] = np.diff(cuts, prepend=0)
             new.append(ids)
-        first = np.flatnonzero(even & ~word)
-        new += self.plain([text[i] for i in first])
-        n[first] = [len(x) for x in new[len(new) - len(first) :]]
-        at[first] = np.cumsum([0, *map(len, new)])[:-1][len(new) - len(first) :]
-        where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, at + len(self.pool))
-        self.n = np.insert(self.n, where, n)
-        self.keys = np.insert(self.keys, where, keys)
-        self.pool = np.concatenate([self.pool, *new])
-
-    def _places(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        return np.where(at < len(self.keys), at, 0)
+            end += len(ids)
+        others = np.flatnonzero(even & ~spaced)
+        found = self.plain([text[i] for i in others])
+        n[others] = sizes = np.array([len(x) for x in found], dtype=np.int64)
+        at[others] = end + np.cumsum(sizes) - sizes
+        self.places.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.held += sum(map(len, words))
+        self.at.extend(at)
+        self.n.extend(n)
+        self.pool.extend(np.concatenate([*new, *found, np.zeros(0, dtype=np.int64)]))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; text i has the bytes raw[offsets[i] : offsets[i + 1]]."""
         out = [np.zeros(0, dtype=np.int64)] * (len(offsets) - 1)
         if not len(raw):
             return out
-        if len(self.keys) > CACHED_PARTS:
+        if len(self.places) > CACHED_PARTS or self.held > CACHED_BYTES:
             self.forget()
-        cut = raw == 0x20
-        cut[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(cut)
+        starts = _cuts(raw, offsets)
         ends = np.append(starts[1:], len(raw))
-        keys = span_hashes(raw, starts, ends)
-        at = self._places(keys)
-        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            data = raw.tobytes()
-            spans = zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)
-            self._learn(new, [data[a:b] for a, b in spans])
-            at = self._places(keys)
-        n = self.n[at]
+        first, word = distinct_spans(raw, starts, ends)
+        data = raw.tobytes()
+        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        place = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        place[new] = np.arange(len(self.at), len(self.at) + len(new))
+        if len(new):
+            self._learn([words[i] for i in new.tolist()])
+        at, n = self.at.values[place][word], self.n.values[place][word]
         length = np.maximum(n, 0)
         total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(self.at[at] - total[:-1], length) + np.arange(total[-1])]
+        ids = self.pool.values[np.repeat(at - total[:-1], length) + np.arange(total[-1])]
         doc = np.searchsorted(starts, offsets)
         uneven = np.unique(np.searchsorted(doc, np.flatnonzero(n < 0), side="right") - 1).tolist()
         bounds = total[doc].tolist()
         for i in range(len(out)):
             out[i] = ids[bounds[i] : bounds[i + 1]]
-        texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in uneven]
+        texts = [data[offsets[i] : offsets[i + 1]].decode() for i in uneven]
         for i, whole in zip(uneven, self.plain(texts), strict=True):
             out[i] = whole
         return out
 
 
+class Growing:
+    """A list of numbers that is extended by arrays."""
+
+    def __init__(self) -> None:
+        self.space, self.size = np.zeros(1 << 12, dtype=np.int64), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.space[: self.size]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.space):
+            space = np.zeros(2 * (self.size + len(more)), dtype=np.int64)
+            space[: self.size] = self.values
+            self.space = space
+        self.space[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
+def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin: at texts, blanks, line feeds, what follows these, and signs."""
+    cut = (raw == 0x20) | (raw == 0x0A)
+    cut[1:] |= raw[:-1] == 0x0A
+    cut[1:] |= _SIGN[raw[1:]] & _ALNUM[raw[:-1]]
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+_SIGN, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SIGN[list(SIGNS)] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 @dataclass
 class Piece:
     doc: int | None
@@ -144,22 +181,47 @@ def capacities(tokens: int, last: bool) -> list[int]:
 
 
 def packed(pieces: list[Piece], room: list[int]) -> Iterator[tuple[int, Piece]]:
-    """(sequence, part) for all pieces; `room` has the tokens of the pieces in all."""
-    left = np.array(room, dtype=np.int64)
-    cost = np.zeros(len(room))
-    for piece in sorted(pieces, key=lambda p: -len(p.ids)):
-        start, ids = piece.start, piece.ids
-        while len(ids):
-            fits = left >= min(len(ids), LENGTH)
-            if fits.any():
-                i = int(np.where(fits, cost, np.inf).argmin())
-            else:
-                i = int(np.lexsort((cost, -left))[0])
-            n = min(len(ids), int(left[i]))
-            yield i, Piece(piece.doc, start, ids[:n], piece.doc_tokens)
-            left[i] -= n
-            cost[i] += LINEAR * n + QUADRATIC * n * n
-            start, ids = start + n, ids[n:]
+    """(sequence, part) for all pieces; `room` has the tokens of the pieces in all.
+
+    The sequences with room for the piece in hand are a heap by cost, the others are kept by the
+    room they have; pieces come in descending order, so a sequence enters the heap at the length it
+    has room for. What is left of a cut piece is placed in its turn.
+    """
+    left, cost = list(room), [0.0] * len(room)
+    turns = [(-len(p.ids), i, p) for i, p in enumerate(pieces) if len(p.ids)]
+    heapq.heapify(turns)
+    fits: list[tuple[float, int]] = []
+    others: list[list[int]] = [[] for _ in range(LENGTH + 1)]
+    for i, n in enumerate(left):
+        others[n].append(i)
+    least = LENGTH + 1  # all sequences with so much room are in the heap
+    order = len(pieces)
+    while turns:
+        _, _, piece = heapq.heappop(turns)
+        n = len(piece.ids)
+        while least > n:
+            least -= 1
+            for i in others[least]:
+                heapq.heappush(fits, (cost[i], i))
+            others[least] = []
+        if fits:
+            _, i = heapq.heappop(fits)
+        else:
+            most = next(m for m in range(least - 1, 0, -1) if others[m])
+            i = min(others[most], key=lambda j: (cost[j], j))
+            others[most].remove(i)
+            rest = Piece(piece.doc, piece.start + most, piece.ids[most:], piece.doc_tokens)
+            heapq.heappush(turns, (-len(rest.ids), order, rest))
+            order += 1
+            piece = Piece(piece.doc, piece.start, piece.ids[:most], piece.doc_tokens)
+            n = most
+        yield i, piece
+        left[i] -= n
+        cost[i] += LINEAR * n + QUADRATIC * n * n
+        if left[i] >= least:
+            heapq.heappush(fits, (cost[i], i))
+        else:
+            others[left[i]].append(i)
 
 
 def _split(pieces: list[Piece], tokens: int) -> tuple[list[Piece], list[Piece]]:
@@ -228,7 +290,7 @@ def _rows(placed: Iterator[tuple[int, Piece]], room: list[int], first: int) -> p
     rows = []
     for i, p in placed:
         n = len(p.ids)
-        crc = zlib.crc32(p.ids.tobytes())
+        crc = zlib.crc32(p.ids)
         cost = LINEAR * n + QUADRATIC * n * n
         rows.append((p.doc, p.start, n, crc, p.doc_tokens, first + i, filled[i], room[i], cost))
         filled[i] += n

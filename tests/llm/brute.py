@@ -20,6 +20,13 @@ def shingles(text, size):
     return frozenset([tuple(w)]) if w else frozenset()
 
 
+def colliding_words():
+    """Two words with the same polynomial hash modulo 2^64 under any base: the Thue-Morse word of
+    1,024 letters and its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def near_duplicates(rows, size, percent=80):
     """{id: (set size, component)} of (id, text) rows with unique ids."""
     sets = {i: shingles(t, size) for i, t in rows}
@@ -106,8 +113,11 @@ def ipv4(key, found):
 
 def phone(key, found):
     digits = re.sub("[^0-9]", "", found)
-    code = re.match(r"[+]([0-9]{1,3})", found)
-    code = code[1] if code else ""
+    code = ""
+    if found[0] == "+":
+        two = [*range(30, 35), *range(43, 50), *range(51, 59), *range(60, 67), *range(90, 96), 20, 27, 36, 39, 40, 41]
+        two += [81, 82, 84, 86, 98]
+        code = digits[:1] if digits[0] in "17" else digits[:2] if int(digits[:2]) in two else digits[:3]
     return refilled(found, code + permuted_digits(key, "phone", digits[len(code) :]))
 
 

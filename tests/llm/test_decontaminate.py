@@ -44,3 +44,8 @@ def test_repeated_rows(spark):
     docs = [(1, "a b c d e f g")] * 2
     got = run(spark, docs, [(4, "A b c d e f", 0)] * 2).collect()
     assert [tuple(r) for r in got] == [(1, 4, 2, 2)] * 2
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    a, b = brute.colliding_words()
+    assert [r.doc_id for r in run(spark, [(1, a), (2, b)], [(4, a, 0)]).collect()] == [1]

@@ -39,6 +39,22 @@ def test_repeated_ids_do_not_fail(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (4, 1), (5, 1)}
 
 
+def test_texts_of_one_id_are_linked_each(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (5, one + " more"), (6, two + " more"), (6, two + " more"), (7, None)]
+    got = run(spark, rows, words=4)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+        (1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (6, 1, False), (7, 7, True),
+    ]
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    a, b = brute.colliding_words()
+    got = run(spark, [(1, a), (2, b), (3, f"{a} c d e f"), (4, f"{b} c d e f")], words=4)
+    assert all(r.kept for r in got)
+
+
 @pytest.fixture(scope="module")
 def groups():
     """Chains and stars of near copies around the threshold, and texts that share a passage."""

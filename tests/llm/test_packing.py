@@ -9,9 +9,11 @@ from tokenizers import Tokenizer
 from levylens.llm import packing
 from levylens.llm._words import buffers
 from levylens.llm.queries import op2_packing, tokenizer_path
+from tests.llm.brute import colliding_words
 
 ODD = ["", "  a b", " a", "a ", "a  b", "x  y", "<|endoftext|> hi <|endoftext|>", "ab\n c", "é à ü 日本 語",
-       "a\tb c", "can't  don't we've", " ", "\n", "x 　y z", "\x1c a", "a\r\n b", "one two three"]
+       "a\tb c", "can't  don't we've", " ", "\n", "x 　y z", "\x1c a", "a\r\n b", "one two three", "a\n\nb", "\na", "a\n", "a\nb\nc, d.\nE", " a\nb", "a \nb", "a\n b",
+       "x, y. z! w? 'tis it's, 1,000. 3.14 a.b.c... ok... \"q\", é, ü. ²: Ⅷ; 日本, _,.", "it's. they've! 's, '", "a,\nb"]
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +72,15 @@ def test_remembered_parts_give_the_same_ids(monkeypatch):
             assert [x.tolist() for x in found] == [x.tolist() for x in encoder.plain(ODD)]
 
 
+def test_words_that_collide_under_polynomial_hashes(reference):
+    a, b = colliding_words()
+    encoder = packing.Encoder(tokenizer_path())
+    for _ in range(2):
+        texts = [f"x {a} {b}", f"x {b} {a}", a, b, f"{b}\n{a}"]
+        found = encoder.encode(*buffers(pa.array(texts)))
+        assert [x.tolist() for x in found] == [reference(t)[:-1] for t in texts]
+
+
 def test_lowest_cost_with_room():
     pieces = [packing.Piece(i, 0, np.zeros(n, dtype="<u4"), n) for i, n in enumerate([500, 900, 124, 524])]
     placed = list(packing.packed(pieces, [1024, 1024]))
