@@ -37,7 +37,14 @@ _CARD = (
     r"|[0-9]{13,19})(?![0-9A-Za-z])"
 )
 _NUMERIC = "|".join([_IPV4, _ISO_DATE, _DAY_DATE, _SSN, _NANP, _WORLD, _CARD])
-PATTERN = rf"(?<![0-9A-Za-z])(?:(?=[0-9+(])(?:{_NUMERIC})|{_MAIL})"
+# A number in front of an @ belongs to a mail address.
+PATTERN = rf"(?<![0-9A-Za-z])(?:(?=[0-9+(])(?>{_NUMERIC})(?![A-Za-z0-9._%+-]*+@[A-Za-z0-9])|{_MAIL})"
+# --- fixed values: country codes. Those that begin with 1 or 7 have one digit, these two, others three.
+TWO_DIGIT_CODES = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48",
+    "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81",
+    "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 KINDS = ("mail", "ipv4", "date", "ssn", "phone", "card")
 
 
@@ -127,13 +134,26 @@ def _card(key: str, found: Column) -> Column:
 def _ssn(key: str, found: Column) -> Column:
     area, group, serial = (F.substring(found, at, n) for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
-    return F.when(valid, _refilled(found, _permuted_digits(key, "ssn", _digits(found))))
+    # The valid numbers are counted off, areas without 000, 666 and those from 900 on, groups and
+    # serial numbers from 1, and permuted among themselves.
+    number = area.cast("long")
+    place = number - 1 - F.when(number > 666, 1).otherwise(0)
+    rest = (group.cast("long") - 1) * 9999 + serial.cast("long") - 1
+    pair = _feistel(key, F.lit("ssn"), place, rest, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"))
+
+    def written(p: Column) -> Column:
+        new = p["left"] + 1 + F.when(p["left"] + 1 >= 666, 1).otherwise(0)
+        parts = new, F.floor(p["right"] / 9999) + 1, p["right"] % 9999 + 1
+        return F.format_string("%03d-%02d-%04d", *parts)
+
+    return F.when(valid, _let(pair, written))
 
 
 def _phone(key: str, found: Column) -> Column:
     def moved(digits: Column) -> Column:
-        code = F.when(found.startswith("+"), F.regexp_extract(found, "^[+]([0-9]{1,3})", 1))
-        code = F.coalesce(code, F.lit(""))
+        size = F.when(F.left(digits, F.lit(1)).isin("1", "7"), 1)
+        size = size.when(F.left(digits, F.lit(2)).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+        code = F.when(found.startswith("+"), F.left(digits, size)).otherwise("")
         rest = F.substr(digits, F.length(code) + 1, F.length(digits))
         made = F.concat(code, _let(rest, lambda x: _permuted_digits(key, "phone", x)))
         return F.when(F.length(digits).between(7, 15), _refilled(found, made))

@@ -24,7 +24,8 @@ def one(spark, text):
         ("card", ["4041894974608795", "4041 8949 7460 8795", "4041-8949-7460-8795", "378282246310005",
                   "3782 822463 10005", "4041894974608796"]),
         ("ipv4", ["42.144.35.254", "0.0.0.0", "300.1.1.1"]),
-        ("phone", ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "+49 30 1234567", "+33 1 23 45 67 89"]),
+        ("phone", ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "+49 30 1234567", "+33 1 23 45 67 89", "+15551234567",
+                   "+442079460958", "+7 495 123-45-67", "+353 1 234 5678"]),
         ("mail", ["bosbt.42@mail8.example.com", "A_b+c%d-e@x.org", "x@y.de"]),
     ],
 )
@@ -92,3 +93,31 @@ def test_query(spark):
             expected = re.sub(pattern, lambda m: new("levylens corpus", m[0]), expected, flags=re.A)
         assert rows[doc_id].text == expected
     assert found > 30
+
+
+def test_social_security_numbers_stay_valid(spark):
+    """Sampled and extreme numbers stay valid, stay different, and a second run knows them again."""
+    import random
+
+    rng = random.Random(1)
+    areas = [*range(1, 666), *range(667, 900)]
+    old = {f"{rng.choice(areas):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(3000)}
+    old |= {"001-01-0001", "899-99-9999", "665-01-0001", "667-99-9999"}
+    df = spark.createDataFrame([(x,) for x in sorted(old)], "text string")
+    new = [r.text for r in pii.pseudonymised(df, KEY, findings_col="f").collect()]
+    assert len(set(new)) == len(old) and sum(a == b for a, b in zip(sorted(old), new)) < 3
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x) for x in new)
+    again = pii.pseudonymised(spark.createDataFrame([(x,) for x in new], "text string"), KEY, findings_col="f")
+    assert again.selectExpr("min(size(f))").first()[0] == 1
+
+
+def test_a_number_is_linked_across_spellings(spark):
+    texts = ["+15551234567", "+1 555-123-4567", "+1 (555) 123-4567", "+1.555.123.4567"]
+    new = {re.sub("[^0-9+]", "", r.text) for r in run(spark, list(enumerate(texts)))}
+    assert len(new) == 1 and new.pop().startswith("+1") and "+15551234567" not in new
+
+
+def test_a_date_before_an_at_sign_is_a_mail_address(spark):
+    got = run(spark, [(1, "to 2020-01-01@corp.com or 4041894974608795@x.org, born 2020-01-01")], findings_col="f")[0]
+    assert [x.kind for x in got.f] == ["mail", "mail", "date"]
+    assert got.text.split()[1].endswith("@corp.com")

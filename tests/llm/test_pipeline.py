@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from levylens.llm.queries import PII_KEY, tokenizer_path
+from levylens.llm.queries import KNOWN_KEY, tokenizer_path
 from tests.llm import brute
 from tests.llm.test_packing import checked
 
@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
     assert masked.keys() == pure.keys()
     assert all(n == len(t) for t, n in masked.values())
     if last + 4 in pure:
-        new = brute.mail(PII_KEY, "Jane.Doe42@example.org")
+        new = brute.mail(KNOWN_KEY, "Jane.Doe42@example.org")
         assert masked[last + 4][0].endswith(f"mail me at {new}")
 
     from tokenizers import Tokenizer
@@ -73,3 +73,19 @@ def test_empty_documents(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """One row of each group of duplicates stays, and an id's other texts are judged on their own."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    one, two, three, four = (" ".join(word() for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (1, one), (1, two), (2, one + " more"), (None, two), (None, three), (3, four), (3, four + " x")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], kinds)
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(3), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (1, two), (0, three), (3, min(four, four + " x"))]) or \
+        sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (1, two), (0, three), (3, four + " x")])
+    spark.createDataFrame([(5, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in rows if t != two)
