@@ -2,8 +2,8 @@
 
 Queries and candidates are cut into tiles by a hash of their ids, each pair of a query tile and a
 candidate tile is one task-sized group: one matrix product, of which every query keeps its k best.
-The lists of a query are then merged in a tree: first groups of FAN tiles, then the rest, so a task
-never holds more than FAN * k entries of one query. The queries are a stated set, so the work is
+The lists of a query are then merged in a tree, FAN lists at a time, in as many levels as there have
+to be, so a task never holds more than FAN * k entries of one query. The queries are a stated set, so the work is
 queries times rows by definition; rows are sent once per tile of the other side and no pair of
 rows is ever a row of a table.
 """
@@ -78,23 +78,22 @@ def top_k(
     that counts the rows.
 
     Fewer than k candidates give fewer rows. Rows without id, and vectors that `quantised` makes
-    null, take no part; vectors of different length are never compared. Rows that repeat an id and
-    vector count once; rows that share an id but not a vector are candidates each, and as queries
-    compete within one list. Scores beyond a long are held at its limits. Other columns of
+    null, take no part; vectors of different length are never compared. Rows that share an id are
+    candidates each, repeated rows too, and as queries compete within one list. Scores beyond a long are held at its limits. Other columns of
     `vectors` are not read.
     """
     own = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"),
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"),
         quantised(f"`{vector_col}`").alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asked"),
     )
     own = own.filter("vec_id is not null and vector is not null")
-    own = own.dropDuplicates(["vec_id", "vector"]).withColumn("dim", F.size("vector"))
+    own = own.withColumn("dim", F.size("vector")).withColumn("row", F.monotonically_increasing_id())
     rows, asked = own.agg(F.count("*"), F.count_if("asked")).first()
     shards, blocks = max(1, math.ceil(rows / SHARD)), max(1, math.ceil(asked / QUERY_TILE))
 
     def tile(n: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64("vec_id", "row"), F.lit(n)).cast("int")  # spreads repeated rows
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -112,11 +111,14 @@ def top_k(
         candidates.groupBy("shard", "block", "dim")
     )
     best = pairs.applyInPandas(_best(k), "query_id long, vec_id long, score long")
-    best = best.withColumn("part", F.lit(0)) if shards <= FAN else best.withColumn(
-        "part", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(shards / FAN)))
-    )
+    best = best.withColumn("salt", F.monotonically_increasing_id() % 1024)  # for equal entries
     order = [F.desc("score"), F.col("vec_id")]
-    for by in (["query_id", "part"], ["query_id"]) if shards > FAN else (["query_id"],):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    lists = shards
+    while True:
+        lists = math.ceil(lists / FAN)
+        part = F.pmod(F.xxhash64("vec_id", "salt"), F.lit(lists))
+        rank = F.row_number().over(Window.partitionBy("query_id", part).orderBy(*order))
         best = best.withColumn("rank", rank).filter(F.col("rank") <= k)
+        if lists == 1:
+            break
     return best.select("query_id", "rank", "vec_id", "score")
