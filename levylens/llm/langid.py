@@ -168,6 +168,18 @@ class Model:
     spread: np.ndarray | None = None  # variance between texts, variance of one symbol
     limit: np.ndarray | None = None  # per language and length of SIZES
 
+    def calibrated_like(self, other: Model) -> None:
+        """Take over another model's calibration. A language that it lacks gets the middle of the
+        others' means and spreads and the widest of their limits."""
+        self.temperature = other.temperature
+        if other.mean is None or other.limit is None:
+            return
+        at = [other.langs.index(x) if x in other.langs else -1 for x in self.langs]
+        self.mean = np.array([other.mean[i] if i >= 0 else np.median(other.mean) for i in at])
+        middle, widest = np.median(other.spread, axis=0), other.limit.max(axis=0)
+        self.spread = np.stack([other.spread[i] if i >= 0 else middle for i in at])
+        self.limit = np.stack([other.limit[i] if i >= 0 else widest for i in at])
+
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Per key of four symbols the log probability of the last one, a column per language."""
         return self._of_order(4, keys)
@@ -390,9 +402,11 @@ def train(
 ) -> Model | None:
     """The model of the labelled rows of `docs`; None without any. Runs jobs.
 
-    The rows are counted but for those held back to calibrate: about `calibration_texts` of them,
-    a quarter at most, dealt by a hash of the id. They are scored where they are. The driver
-    receives the different grams of each language and the scores of the calibration texts.
+    About `calibration_texts` of the rows, a quarter at most, dealt by a hash of the id, are first
+    left out of the counts and scored, where they are, to calibrate; rows without id are dealt
+    alike. Then they are counted too: the model has all labelled texts, and every language that one
+    text is labelled with. Repeated rows count as often as they occur. The driver receives the
+    different grams of each language and the scores of the calibration texts.
     """
     own = docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -402,12 +416,13 @@ def train(
     step = max(4, math.ceil(own.count() / calibration_texts))
     held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(step)) == 0
     every = staged(counts(own.filter(~held)), "grams")
-    found = orders(every).orderBy("lang", "level", "gram").toPandas()
-    if not len(found):
+    both = every.unionByName(counts(own.filter(held))).groupBy("lang", "gram")
+    whole = _gathered(staged(both.agg(F.sum("n").alias("n")), "grams"))
+    if not whole:
         return None
-    grams: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for (lang, level), g in found.groupby(["lang", "level"]):
-        grams.setdefault(lang, {})[level] = g["gram"].to_numpy(), g["n"].to_numpy()
+    grams = _gathered(every)
+    if not grams:
+        return fitted(whole)
     model = fitted(grams)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -426,9 +441,20 @@ def train(
     schema = "lang string, whole boolean, means array<double>, n long, fits double, shares array<double>"
     rows = sample.mapInArrow(score, schema).collect()
     if rows:
-        langs, whole, *scores = zip(*rows, strict=True)
-        calibrate(model, tuple(map(np.array, scores)), list(langs), np.array(whole), reject_share)
-    return model
+        langs, uncut, *scores = zip(*rows, strict=True)
+        calibrate(model, tuple(map(np.array, scores)), list(langs), np.array(uncut), reject_share)
+    out = fitted(whole)
+    out.calibrated_like(model)
+    return out
+
+
+def _gathered(grams: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """All orders of the counts of four symbols, by language and order."""
+    out: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    found = orders(grams).orderBy("lang", "level", "gram").toPandas()
+    for (lang, level), g in found.groupby(["lang", "level"]):
+        out.setdefault(lang, {})[level] = g["gram"].to_numpy(), g["n"].to_numpy()
+    return out
 
 
 def identified(
