@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from levylens import operators as v
 from levylens.constants import AGI, LIABILITY, RETURNS
-from levylens.functions import num, percent_label, percent_text, rounded_text
+from levylens.functions import percent_label, percent_text, rounded_text
 from levylens.plans import income, maps, publish, quality, sales, states, views
 from levylens.sources import order_tables, readers, schemas, sinks, snapshots, warnings
 
@@ -40,7 +40,7 @@ def _pages(t) -> DataFrame:
     return readers.open_data(t.spark, root, schemas.SALES, mark_broken=True)
 
 
-def _json_pages(t) -> DataFrame:
+def json_pages(t) -> DataFrame:
     rows, _ = warnings.parsed(_pages(t), [AMOUNT])
     return sales.industry_totals(rows, ALL_PLACES, "1999 - 2000")
 

@@ -311,7 +311,7 @@ def _table_queries() -> dict[str, Callable[[Tables], DataFrame]]:
     q["quarterly_series_since"] = lambda t: sales.quarterly_series(t.sales).where(
         F.col("date") >= date_lit("1998-01-01")
     )
-    q["json_pages"] = features._json_pages
+    q["json_pages"] = features.json_pages
     q["exports"] = _exports
     q["measure_summary_overall"] = lambda t: income.measure_summary(
         t.counties, LIABILITY, by_year=False, bounded=True

@@ -152,3 +152,35 @@ def test_malformed(spark):
     got = [r[0] for r in df.select(malformed("x")).collect()]
     assert [c for c, bad in zip(cells, got) if bad] == ["n/a", "1,000", "1d", "-"]
     assert None not in got
+
+
+def test_fixed_lists():
+    """The lists as typed from the published tables, not taken from the code."""
+    from levylens import constants as c
+
+    assert sorted(c.DOWNSTATE) == [
+        "Bronx", "Dutchess", "Kings", "Nassau", "New York", "Orange", "Putnam", "Queens", "Richmond",
+        "Rockland", "Suffolk", "Westchester",
+    ]
+    assert sorted(c.CITY_COUNTIES) == ["Bronx", "Kings", "New York", "Queens", "Richmond"]
+    assert sorted(c.NEIGHBOURS) == ["Connecticut", "Florida", "Massachusetts", "New Jersey", "Pennsylvania"]
+    assert sorted(c.LEGACY_STATES) == ["Connecticut", "New Jersey", "New York", "Pennsylvania"]
+    assert c.NOT_CONTIGUOUS == ["Alaska", "Hawaii"] and sorted(c.SALES_ROLLUPS) == ["Mctd", "Ny City", "Ny State"]
+    assert sorted(c.WAYFAIR_INDUSTRIES) == ["4522", "4541"]
+    assert sorted(c.WAYFAIR_JURISDICTIONS) == ["ALBANY", "ERIE", "MONROE", "ONONDAGA", "ORANGE"]
+    assert [m[:3] for m in c.MONTHS] == "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+    states = """Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho
+        Illinois Indiana Iowa Kansas Kentucky Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi
+        Missouri Montana Nebraska Nevada New_Hampshire New_Jersey New_Mexico New_York North_Carolina North_Dakota Ohio
+        Oklahoma Oregon Pennsylvania Rhode_Island South_Carolina South_Dakota Tennessee Texas Utah Vermont Virginia
+        Washington West_Virginia Wisconsin Wyoming"""
+    assert c.STATE_NAMES == [x.replace("_", " ") for x in states.split()]
+    assert all(-130 < x < -65 and 24 < y < 50 for _, x, y in c.STATE_CENTERS)
+    assert c.V1_NOT_COUNTIES == ["Grand Total, Full-Year Resident", "Residence Unknown ++", "NYS Unclassified +", "All Places"]
+    assert c.V2_NOT_COUNTIES == [
+        "All New York City", "Other Places- NYS Resident", "All Counties Outside of New York City", "All Places",
+    ]
+    assert [len(raw) for _, raw in c.INCOME_GROUPS] == [4, 3, 2, 1, 2, 1]
+    bounds = [int(x.split(" ")[0].replace(",", "").replace("Under", "0")) for _, raw in c.INCOME_GROUPS for x in raw]
+    assert bounds == [0, 5000, 10000, 20000, 30000, 40000, 50000, 60000, 75000, 100000, 200000, 250000, 500000]
+    assert c.MISLABELLED_HAMILTON_AGI_K == 802099

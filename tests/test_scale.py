@@ -210,3 +210,14 @@ def test_constant_state_table_is_a_local_relation(spark):
     from levylens.sources.reference import state_centers
 
     assert "LocalTableScan" in plan(state_centers(spark).where(F.col("x") < 0))
+
+
+@pytest.mark.parametrize(
+    "name", ["effective_rate", "rate_view", "keys_intersect", "keys_missing", "county_income", "states"]
+)
+def test_years_are_not_tested_as_text_on_every_order(spark, name):
+    """Above the scan of orders only days are compared; the year's text is tested on the groups."""
+    text = plan(entry.queries()[name](spark, FOLDER))
+    filters = [x for x in text.splitlines() if "Filter" in x and "o_orderdate" in x]
+    assert "o_orderdate" in text
+    assert not any("as string" in x or "EndsWith" in x or "right(" in x for x in filters)
