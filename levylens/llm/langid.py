@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -416,14 +416,25 @@ def train(
     step = max(4, math.ceil(own.count() / calibration_texts))
     held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(step)) == 0
     every = staged(counts(own.filter(~held)), "grams")
+    known = _calibrated(docs, own.filter(held), every, reject_share)
     both = every.unionByName(counts(own.filter(held))).groupBy("lang", "gram")
     whole = _gathered(staged(both.agg(F.sum("n").alias("n")), "grams"))
     if not whole:
         return None
-    grams = _gathered(every)
-    if not grams:
-        return fitted(whole)
-    model = fitted(grams)
+    out = fitted(whole)
+    if known is not None:
+        out.calibrated_like(known)
+    return out
+
+
+def _calibrated(
+    docs: DataFrame, held: DataFrame, grams: DataFrame, reject_share: float
+) -> Model | None:
+    """The calibration by texts that are not in the counts, without the model's tables."""
+    gathered = _gathered(grams)
+    if not gathered:
+        return None
+    model = fitted(gathered)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,23 +448,30 @@ def train(
             names = ["lang", "whole", "means", "n", "fits", "shares"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    sample = own.filter(held).select("lang", "text")
+    sample = held.select("lang", "text")
     schema = "lang string, whole boolean, means array<double>, n long, fits double, shares array<double>"
     rows = sample.mapInArrow(score, schema).collect()
     if rows:
         langs, uncut, *scores = zip(*rows, strict=True)
         calibrate(model, tuple(map(np.array, scores)), list(langs), np.array(uncut), reject_share)
-    out = fitted(whole)
-    out.calibrated_like(model)
-    return out
+    sent.destroy()
+    none = np.zeros(0)
+    return replace(model, one=none, two=none, keys={}, logs={}, contexts={}, weights={})
 
 
 def _gathered(grams: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """All orders of the counts of four symbols, by language and order."""
+    found = orders(grams).orderBy("lang", "level", "gram").toArrow().combine_chunks()
+    if not found.num_rows:
+        return {}
+    langs = found["lang"].chunk(0).dictionary_encode()
+    code, level = langs.indices.to_numpy(), found["level"].to_numpy()
+    gram, n = found["gram"].to_numpy().astype(np.uint32), found["n"].to_numpy()
+    opens = np.flatnonzero((code[1:] != code[:-1]) | (level[1:] != level[:-1])) + 1
     out: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    found = orders(grams).orderBy("lang", "level", "gram").toPandas()
-    for (lang, level), g in found.groupby(["lang", "level"]):
-        out.setdefault(lang, {})[level] = g["gram"].to_numpy(), g["n"].to_numpy()
+    for a, b in zip([0, *opens.tolist()], [*opens.tolist(), len(code)], strict=True):
+        name = langs.dictionary[int(code[a])].as_py()
+        out.setdefault(name, {})[int(level[a])] = gram[a:b], n[a:b]
     return out
 
 
