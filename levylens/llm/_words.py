@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
@@ -65,18 +65,24 @@ def distinct_spans(
 ) -> tuple[np.ndarray, np.ndarray]:
     """The index of one of each of the different spans, and for every span which of these it is.
 
-    Spans, which do not overlap, are grouped by a polynomial hash; what it groups is compared byte
+    Spans, which are in order and do not overlap, are grouped by a polynomial hash; what it groups is compared byte
     by byte, so that it need not be trusted.
     """
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + _U(1)) * _powers(len(raw)), out=total[1:])
+    np.add(raw, _U(1), out=total[1:], casting="unsafe")
+    total[1:] *= _powers(len(raw))
+    np.cumsum(total, out=total)
     keys = (total[ends] - total[starts]) * _powers(len(raw), _INVERSE)[starts]
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
     size, like = ends - starts, first[which]
     if (size == size[like]).all():
+        del total
         before = np.cumsum(size) - size
-        at = np.repeat(starts - before, size) + np.arange(size.sum())
-        if (raw[at] == raw[at + np.repeat(starts[like] - starts, size)]).all():
+        at = np.arange(size.sum(), dtype=np.int32)
+        at += np.repeat((starts - before).astype(np.int32), size)
+        own = raw[at]
+        at += np.repeat((starts[like] - starts).astype(np.int32), size)
+        if (raw[at] == own).all():
             return first, which
     data, known = raw.tobytes(), {}  # different spans have the same hash
     spans = zip(starts.tolist(), ends.tolist(), strict=True)

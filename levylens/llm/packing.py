@@ -14,6 +14,7 @@ is gathered. A sequence's number is made of the partition's and a count.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ LENGTH = 1024
 GROUP_TOKENS = 1 << 19
 PART_BYTES = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-CACHED_PARTS, CACHED_BYTES = 1_000_000, 1 << 26
+CACHED_PARTS, CACHED_BYTES = 500_000, 1 << 25
+TOGETHER = 400  # new words that are encoded as one text
 SIGNS = b".,;:!?"
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
@@ -53,6 +55,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
@@ -71,26 +74,34 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember words; those next to white space with -1 ids."""
-        text = [w.decode() for w in words]
-        bare = [w[1:] if w[0] == " " else w for w in text]
-        even = np.array([w == "\n" or bool(b) and not (b[0].isspace() or b[-1].isspace())
-                         for w, b in zip(text, bare, strict=True)])
-        spaced = even & np.array([w[0] == " " for w in text])
+        head = np.fromiter((w[0] for w in words), np.uint8, len(words))
+        spaced = head == 0x20
+        begin = np.fromiter((w[1] if len(w) > 1 else 0x20 for w in words), np.uint8, len(words))
+        begin[~spaced] = head[~spaced]
+        end = np.fromiter((w[-1] for w in words), np.uint8, len(words))
+        even = ~(_SPACE[begin] | _SPACE[end])
+        for i in np.flatnonzero(even & ((begin > 127) | (end > 127))).tolist():
+            bare = words[i].decode().removeprefix(" ")
+            even[i] = not (bare[0].isspace() or bare[-1].isspace())
+        even |= np.fromiter((w == b"\n" for w in words), bool, len(words))
+        spaced &= even
         at, n = np.zeros(len(words), dtype=np.int64), np.full(len(words), -1)
-        new, end = [], len(self.pool)
+        new, used = [], len(self.pool)
         if spaced.any():
             inside = np.flatnonzero(spaced)
-            ids = self.plain(["".join(text[i] for i in inside)])[0]
-            ends = np.cumsum([len(words[i]) for i in inside])
+            own = [words[i] for i in inside.tolist()]
+            texts = [b"".join(own[i : i + TOGETHER]).decode() for i in range(0, len(own), TOGETHER)]
+            ids = np.concatenate(self.plain(texts))
+            ends = np.cumsum([len(words[i]) for i in inside.tolist()])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            at[inside] = end + np.concatenate([[0], cuts[:-1]])
+            at[inside] = used + np.concatenate([[0], cuts[:-1]])
             n[inside] = np.diff(cuts, prepend=0)
             new.append(ids)
-            end += len(ids)
+            used += len(ids)
         others = np.flatnonzero(even & ~spaced)
-        found = self.plain([text[i] for i in others])
+        found = self.plain([words[i].decode() for i in others.tolist()])
         n[others] = sizes = np.array([len(x) for x in found], dtype=np.int64)
-        at[others] = end + np.cumsum(sizes) - sizes
+        at[others] = used + np.cumsum(sizes) - sizes
         self.places.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
         self.held += sum(map(len, words))
         self.at.extend(at)
@@ -114,7 +125,7 @@ class Encoder:
         place[new] = np.arange(len(self.at), len(self.at) + len(new))
         if len(new):
             self._learn([words[i] for i in new.tolist()])
-        at, n = self.at.values[place][word], self.n.values[place][word]
+        at, n = (x.values[place].astype(np.int64)[word] for x in (self.at, self.n))
         length = np.maximum(n, 0)
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool.values[np.repeat(at - total[:-1], length) + np.arange(total[-1])]
@@ -133,7 +144,7 @@ class Growing:
     """A list of numbers that is extended by arrays."""
 
     def __init__(self) -> None:
-        self.space, self.size = np.zeros(1 << 12, dtype=np.int64), 0
+        self.space, self.size = np.zeros(1 << 12, dtype=np.int32), 0
 
     def __len__(self) -> int:
         return self.size
@@ -144,7 +155,7 @@ class Growing:
 
     def extend(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.space):
-            space = np.zeros(2 * (self.size + len(more)), dtype=np.int64)
+            space = np.zeros((self.size + len(more)) * 3 // 2, dtype=np.int32)
             space[: self.size] = self.values
             self.space = space
         self.space[self.size : self.size + len(more)] = more
@@ -160,6 +171,8 @@ def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
 _SIGN, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _SIGN[list(SIGNS)] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
