@@ -110,6 +110,41 @@ def test_harmless_tokens_are_left_alone(spark, tenth):
     assert out.count() <= 60  # of about 40,000 candidates
 
 
+def test_secrets_among_the_candidates_do_not_raise_the_threshold():
+    key, word = int(10 / secrets.BIN), int(-5 / secrets.BIN)
+    keys = {key + i: 10 for i in range(100)}
+    alike = [{key + i: n for i in range(100)} for n in (1, 40)]
+    for some in ({key + 50: 1}, *alike):
+        for own in (some, {word: 900, **some}):  # all of a class, and among words
+            network = secrets.Network()
+            network.set_thresholds({(0, 0): own, (0, 1): keys}, 0.99, 1e-4)
+            assert network.thresholds[0] == pytest.approx((key + 1) * secrets.BIN) and network.claims[0]
+    network.set_thresholds({(0, 0): {word: 900, key + 20: 90}, (0, 1): keys}, 0.99, 1e-4)  # words like keys
+    assert network.thresholds[0] > (key + 20) * secrets.BIN and not network.claims[0]
+
+
+def test_keys_in_the_documents_learned_from_are_found(spark):
+    """In one of three documents a key stands in the place of a word; a network that learns from
+    these documents, and sets its thresholds on them, finds the keys in them."""
+    rows, places = [], []
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        words = [m.span() for m in re.finditer(r"(?<!\S)[A-Za-z]{4,}(?!\S)", r.text or "")]
+        text = r.text
+        if words and r.doc_id % 3 == 0:
+            a, b = words[r.doc_id % len(words)]
+            key = secrets.random_key(10**9 + r.doc_id).decode()
+            text = text[:a] + key + text[b:]
+            places.append((text, a, a + len(key)))
+        rows.append((r.doc_id, text))
+    network = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(places) > 300 and sum(hits(network, places)) >= 0.75 * len(places)
+    clean = found([t for i, t in rows if i % 3], network)
+    assert sum(x["kind"] == "model" for r in clean for x in r) <= 60  # of about 5,000 candidates
+    before = network.thresholds
+    copies = [(0, places[0][0])] * 200  # equal candidates count once
+    assert secrets.train(spark.createDataFrame(rows + copies, "doc_id long, text string")).thresholds == before
+
+
 def test_every_run_is_a_candidate():
     texts = ["abcdefghijkl 012345678901 ABCDEFGHIJKLMN. a.bcdefghijkl ...abcdefghijkl... short ab.cd.ef.gh.i/j",
              "token=abcdefghijklmnop xabcdefghijklmnopq"]
