@@ -10,7 +10,9 @@ The models lie side by side in sorted arrays of keys with one column of log prob
 language. A text is scored in whole: its score for a language is the mean log probability of its
 symbols, and the language with the lowest cross-entropy wins.
 
-Calibration uses a bounded sample of labelled texts, each as it is and cut to shorter lengths. The
+Calibration uses all labelled texts, each as it is and cut to shorter lengths. They are dealt to FOLDS
+parts by a hash of the id; each part is scored by models of the others, so that no text is scored by
+counts that it is in. The scores stay in Spark, which counts them in narrow bins. The
 temperature that turns mean log probabilities into the winner's probability maximises its
 likelihood, and a text is rejected when its cross-entropy lies further above its language's than
 that of all but `reject_share` of the calibration texts of its length, in deviations that allow
@@ -35,7 +37,9 @@ from levylens.sources.sinks import staged
 
 SYMBOLS = 256
 GAP, EDGE = 0, 1  # anything between letters; the start of a text
-CALIBRATION_TEXTS = 4000  # expected number of calibration texts
+FOLDS = 4  # parts of the texts, each scored by models of the others
+TEMPERATURES = 2.0 ** np.arange(-3, 11)
+BIN = 0.01  # of scores' logarithms and excesses, when they are counted; of cross-entropies a tenth
 REJECT_SHARE = 0.001
 SIZES = 16 * 3 ** np.arange(6)  # lengths that rejection is calibrated for; between them it is interpolated
 ENOUGH = 300  # with fewer calibration texts of a language and length those of all languages count
@@ -44,6 +48,7 @@ PIECE = 64  # symbols of a stretch that is in one language
 BEYOND = 5  # calibration texts beyond the quantiles that the tail is carried on from
 PART_CHARS = 1 << 19
 PART_BYTES = 1 << 22
+SCORED_BYTES = 1 << 20  # of texts that are scored at shorter lengths too
 _DISCOUNT = 0.75  # where an order has no counts of one or two to tell
 _DOUBLES = pa.list_(pa.float64())
 
@@ -168,18 +173,6 @@ class Model:
     spread: np.ndarray | None = None  # variance between texts, variance of one symbol
     limit: np.ndarray | None = None  # per language and length of SIZES
 
-    def calibrated_like(self, other: Model) -> None:
-        """Take over another model's calibration. A language that it lacks gets the middle of the
-        others' means and spreads and the widest of their limits."""
-        self.temperature = other.temperature
-        if other.mean is None or other.limit is None:
-            return
-        at = [other.langs.index(x) if x in other.langs else -1 for x in self.langs]
-        self.mean = np.array([other.mean[i] if i >= 0 else np.median(other.mean) for i in at])
-        middle, widest = np.median(other.spread, axis=0), other.limit.max(axis=0)
-        self.spread = np.stack([other.spread[i] if i >= 0 else middle for i in at])
-        self.limit = np.stack([other.limit[i] if i >= 0 else widest for i in at])
-
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Per key of four symbols the log probability of the last one, a column per language."""
         return self._of_order(4, keys)
@@ -319,55 +312,89 @@ def fitted(grams: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]) -> Model:
     return model
 
 
-def calibrate(
-    model: Model,
-    scores: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
-    langs: list[str],
-    whole: np.ndarray,
-    reject_share: float,
-) -> None:
-    """Set temperature and rejection limits from the scores of labelled texts, some of them whole."""
-    means, n, fits, shares = scores
-    own = np.array([model.langs.index(x) if x in model.langs else -1 for x in langs], dtype=int)
-    use = (own >= 0) & (n > 0)
-    means, n, fits, shares, whole, own = (x[use] for x in (means, n, fits, shares, whole, own))
-    if not len(own):
-        return
-    gap = means - means.max(axis=1, keepdims=True)
-    right = gap[np.arange(len(own)), own]
-
-    def likelihood(t: float) -> float:
-        return float((right * t - np.log(np.exp(gap * t).sum(axis=1))).sum())
-
-    model.temperature = max((2.0**k for k in range(-3, 11)), key=likelihood)
-    size = len(model.langs)
-    model.mean, model.spread = np.zeros(size), np.ones((size, 2))
-    best = means.argmax(axis=1)
-    good = best == own
-    h = -means[np.arange(len(own)), best]
-    for i in range(size):
-        mine = good & (best == i)
-        if mine.any():
-            model.mean[i] = _middle(h[mine], n[mine])
-            off = (h[mine] - model.mean[i]) ** 2
-            within = max(float(np.median(off * n[mine])) * 2.2, 0.1)  # median of chi2(1) is 0.455
-            long = n[mine] >= np.median(n[mine])
-            model.spread[i] = max(float(np.median(off[long])) * 2.2, 1e-3), within
-    excess = model.excess(fits, shares, n, best)
-    classes = np.abs(np.log(n)[:, None] - np.log(SIZES)).argmin(axis=1)
-    model.limit = np.full((size, len(SIZES)), np.nan)
+def calibration(rows: DataFrame, size: int, reject_share: float) -> dict:
+    """The temperature and, for so many languages, means, spreads and rejection limits by the rows of
+    `_scores`; nothing without any. Runs jobs; the driver receives counts of bins. A language without
+    a text that is predicted as labelled gets the middle of the others' means and spreads."""
+    likelihood = [F.sum(F.col("likelihood")[k]) for k in range(len(TEMPERATURES))]
+    sums = rows.select(*likelihood).first()
+    if sums[0] is None:
+        return {}
+    out = {"temperature": float(TEMPERATURES[np.argmax(np.array(sums, dtype=float))])}
+    good, log_n = rows.filter("lang is not null"), F.log("n")
+    mean, spread = np.full(size, np.nan), np.full((size, 2), np.nan)
+    for (i,), found in _counted(good, ["lang"], F.col("h"), BIN / 10, "n").items():
+        mean[i] = _middle(*found)
+    if np.isnan(mean).all():
+        limit = np.full((size, len(SIZES)), math.inf)
+        return out | {"mean": np.zeros(size), "spread": np.ones((size, 2)), "limit": limit}
+
+    def of_language(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(x)) for x in values])[F.col("lang")]
+
+    middle = np.full(size, np.nan)
+    for (i,), found in _counted(good, ["lang"], log_n, BIN).items():
+        middle[i] = _quantile(*found, 0.5)
+    off = F.log(F.greatest((F.col("h") - of_language(mean)) ** 2, F.lit(1e-12)))
+    long = good.filter(log_n >= of_language(middle) - BIN / 2)
+    for (i,), found in _counted(long, ["lang"], off, BIN).items():
+        spread[i, 0] = max(math.exp(_quantile(*found, 0.5)) * 2.2, 1e-3)  # median of chi2(1) is 0.455
+    for (i,), found in _counted(good, ["lang"], off + log_n, BIN).items():
+        spread[i, 1] = max(math.exp(_quantile(*found, 0.5)) * 2.2, 0.1)
+    mean = np.where(np.isnan(mean), np.nanmedian(mean), mean)
+    spread = np.where(np.isnan(spread), np.nanmedian(spread, axis=0), spread)
+
+    expected = sum((F.col("shares")[i] * float(x) for i, x in enumerate(mean)), F.lit(0.0))
+    deviation = F.sqrt(of_language(spread[:, 0]) + of_language(spread[:, 1]) / F.col("n"))
+    last, step = len(SIZES) - 1, math.log(SIZES[1] / SIZES[0])
+    nearest = F.round((log_n - math.log(SIZES[0])) / step).cast("int")
+    nearest = F.least(F.greatest(nearest, F.lit(0)), F.lit(last)).alias("size")
+    excess = ((-F.col("fits") - expected) / deviation).alias("excess")
+    flat = good.select("lang", nearest, "whole", excess)
+    counts = _counted(flat, ["lang", "size", "whole"], F.col("excess"), BIN)
+
+    def tail(chosen: list[tuple[np.ndarray, np.ndarray]], least: int) -> float:
+        if not chosen or sum(n.sum() for _, n in chosen) < least:
+            return math.nan
+        values, n = (np.concatenate(x) for x in zip(*chosen, strict=True))
+        return _tail(values, reject_share, n)
+
+    limit = np.full((size, len(SIZES)), np.nan)
     for c in range(len(SIZES)):
-        every = good & (classes == c)
+        every = tail([x for (_, k, _), x in counts.items() if k == c], 1)
         for i in range(size):
-            mine = every & (best == i)
-            mine = mine if mine.sum() >= ENOUGH else every
-            if mine.any():
-                model.limit[i, c] = _tail(excess[mine], reject_share)
-        if (every & whole).sum() >= ENOUGH_WHOLE:  # short texts may differ from parts of long ones
-            model.limit[:, c] = np.fmax(model.limit[:, c], _tail(excess[every & whole], reject_share))
-    for row in model.limit:
+            own = tail([x for (lang, k, _), x in counts.items() if (lang, k) == (i, c)], ENOUGH)
+            limit[i, c] = every if math.isnan(own) else own
+        # short texts may differ from parts of long ones
+        uncut = tail([x for (_, k, whole), x in counts.items() if k == c and whole], ENOUGH_WHOLE)
+        limit[:, c] = np.fmax(limit[:, c], uncut)
+    for row in limit:
         known = np.flatnonzero(~np.isnan(row))
-        row[:] = np.interp(np.arange(len(row)), known, row[known]) if len(known) else math.inf
+        row[:] = np.interp(np.arange(len(row)), known, row[known])
+    return out | {"mean": mean, "spread": spread, "limit": limit}
+
+
+def _counted(
+    rows: DataFrame, by: list[str], value: Column, width: float, weight: str = "1"
+) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Per key the values, rounded to a width and in order, and the sums of their weights."""
+    rounded = F.round(value / width).cast("long").alias("bin")
+    found: dict[tuple, list[tuple[int, int]]] = {}
+    for *key, b, n in rows.groupBy(*by, rounded).agg(F.sum(F.expr(weight))).collect():
+        found.setdefault(tuple(key), []).append((b, n))
+    out = {}
+    for key, pairs in found.items():
+        bins, n = np.array(sorted(pairs), dtype=np.int64).T
+        out[key] = bins * width, n
+    return out
+
+
+def _quantile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """The quantile of values that occur so often, interpolated between two of them."""
+    order = values.argsort()
+    below, at = counts[order].cumsum(), share * (counts.sum() - 1)
+    low, high = values[order[np.searchsorted(below, [math.floor(at), math.ceil(at)], side="right")]]
+    return float(low + (high - low) * (at - math.floor(at)))
 
 
 def _middle(values: np.ndarray, weights: np.ndarray) -> float:
@@ -377,12 +404,13 @@ def _middle(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order[np.searchsorted(sums, sums[-1] / 2)]])
 
 
-def _tail(values: np.ndarray, share: float) -> float:
+def _tail(values: np.ndarray, share: float, counts: np.ndarray | None = None) -> float:
     """What all but `share` of the values lie below, by an exponential tail through two quantiles
     with at least BEYOND values above them (fewer only if there are less than ten times as many)."""
-    near = min(max(BEYOND / len(values), 0.02), 0.1)
+    counts = np.ones(len(values), dtype=np.int64) if counts is None else counts
+    near = min(max(BEYOND / counts.sum(), 0.02), 0.1)
     far = min(10 * near, 0.5)
-    a, b = np.quantile(values, [1 - far, 1 - near])
+    a, b = _quantile(values, counts, 1 - far), _quantile(values, counts, 1 - near)
     return float(b + (b - a) * max(math.log(near / share), 0) / math.log(far / near))
 
 
@@ -397,66 +425,88 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    calibration_texts: int = CALIBRATION_TEXTS,
     reject_share: float = REJECT_SHARE,
 ) -> Model | None:
     """The model of the labelled rows of `docs`; None without any. Runs jobs.
 
-    About `calibration_texts` of the rows, a quarter at most, dealt by a hash of the id, are first
-    left out of the counts and scored, where they are, to calibrate; rows without id are dealt
-    alike. Then they are counted too: the model has all labelled texts, and every language that one
-    text is labelled with. Repeated rows count as often as they occur. The driver receives the
-    different grams of each language and the scores of the calibration texts.
+    The model counts all labelled texts, and all of them calibrate: they are dealt to FOLDS parts by a
+    hash of the id, rows without id alike, and each part is scored by a model of the others. A text
+    whose language is in none of the other parts is not scored. Repeated rows count as often as they
+    occur. The driver receives the different grams of each language, for one model at a time, and
+    counts of binned scores.
     """
     own = docs.select(
-        F.col(f"`{id_col}`").alias("id"),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("calibration")), F.lit(FOLDS)).alias("fold"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).filter(F.col("lang").isNotNull() & letters(F.col("text")))
-    step = max(4, math.ceil(own.count() / calibration_texts))
-    held = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(step)) == 0
-    every = staged(counts(own.filter(~held)), "grams")
-    known = _calibrated(docs, own.filter(held), every, reject_share)
-    both = every.unionByName(counts(own.filter(held))).groupBy("lang", "gram")
-    whole = _gathered(staged(both.agg(F.sum("n").alias("n")), "grams"))
-    if not whole:
+    dealt = own.select(F.concat(F.col("fold").cast("string"), "lang").alias("lang"), "text")
+    grams = counts(dealt).select(
+        F.substring("lang", 1, 1).cast("int").alias("fold"),
+        F.expr("substring(lang, 2)").alias("lang"),
+        "gram",
+        "n",
+    )
+    every = staged(grams, "grams")
+    names = sorted(r.lang for r in every.select("lang").distinct().collect())
+    if not names:
         return None
-    out = fitted(whole)
-    if known is not None:
-        out.calibrated_like(known)
-    return out
-
 
-def _calibrated(
-    docs: DataFrame, held: DataFrame, grams: DataFrame, reject_share: float
-) -> Model | None:
-    """The calibration by texts that are not in the counts, without the model's tables."""
-    gathered = _gathered(grams)
-    if not gathered:
-        return None
-    model = fitted(gathered)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    def summed(chosen: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        return _gathered(staged(chosen.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"))
+
+    scores = None
+    for fold in range(FOLDS):
+        gathered = summed(every.filter(F.col("fold") != fold))
+        if gathered:
+            found = _scores(own.filter(F.col("fold") == fold), fitted(gathered), names)
+            scores = found if scores is None else scores.unionByName(found)
+    known = {} if scores is None else calibration(scores, len(names), reject_share)
+    return replace(fitted(summed(every)), **known)
+
+
+def _scores(texts: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """(lang, whole, n, h, fits, shares, likelihood), stored: a row for each of the (lang, text), and
+    for each cut of it, that is predicted as labelled: the language's place in `names`, whether it is
+    uncut, its number of symbols, and its cross-entropy, its fit and its shares of `scored`. Rows
+    without lang hold the log likelihood of all of a batch at each of TEMPERATURES."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    place = np.array([names.index(x) for x in model.langs])
+    schema = (
+        "lang int, whole boolean, n long, h double, fits double, shares array<double>,"
+        " likelihood array<double>"
+    )
+    types = [pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), _DOUBLES, _DOUBLES]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in parts(b, 1, PART_BYTES)):
-            texts = [_cuts(text) for text in batch.column(1).to_pylist()]
-            scores = sent.value.scored([cut for cuts in texts for cut in cuts])
-            langs = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), [len(x) for x in texts])))
-            whole = pa.array([k == 0 for cuts in texts for k in range(len(cuts))])
-            means, n, fits, shares = (pa.array(x.tolist()) for x in scores)
-            columns = [langs, whole, means.cast(_DOUBLES), n, fits, shares.cast(_DOUBLES)]
-            names = ["lang", "whole", "means", "n", "fits", "shares"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    sample = held.select("lang", "text")
-    schema = "lang string, whole boolean, means array<double>, n long, fits double, shares array<double>"
-    rows = sample.mapInArrow(score, schema).collect()
-    if rows:
-        langs, uncut, *scores = zip(*rows, strict=True)
-        calibrate(model, tuple(map(np.array, scores)), list(langs), np.array(uncut), reject_share)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        index = {x: i for i, x in enumerate(model.langs)}
+        for batch in (p for b in batches for p in parts(b, 1, SCORED_BYTES)):
+            langs = [index.get(x) for x in batch.column(0).to_pylist()]
+            pairs = zip(langs, batch.column(1).to_pylist(), strict=True)
+            cuts = [(i, k == 0, cut) for i, t in pairs if i is not None for k, cut in enumerate(_cuts(t))]
+            means, n, fits, shares = model.scored([cut for _, _, cut in cuts])
+            use = n > 0
+            if not use.any():
+                continue
+            own, whole = (np.array([c[k] for c in cuts])[use] for k in (0, 1))
+            means, n, fits, shares = (x[use] for x in (means, n, fits, shares))
+            gap, at = means - means.max(axis=1, keepdims=True), np.arange(len(n))
+            likelihood = [
+                float((gap[at, own] * t - np.log(np.exp(gap * t).sum(axis=1))).sum()) for t in TEMPERATURES
+            ]
+            good = np.flatnonzero(means.argmax(axis=1) == own)
+            named = np.zeros((len(good), len(names)))
+            named[:, place] = shares[good]
+            h = -means[good, own[good]]
+            columns = [place[own[good]], whole[good], n[good], h, fits[good], named]
+            columns = [[*x.tolist(), None] for x in columns] + [[None] * len(good) + [likelihood]]
+            arrays = [pa.array(x, t) for x, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "whole", "n", "h", "fits", "shares", "likelihood"])
+
+    out = staged(texts.select("lang", "text").mapInArrow(run, schema), "scores")
     sent.destroy()
-    none = np.zeros(0)
-    return replace(model, one=none, two=none, keys={}, logs={}, contexts={}, weights={})
+    return out
 
 
 def _gathered(grams: DataFrame) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:

@@ -88,6 +88,45 @@ def test_a_few_odd_texts_do_not_move_the_limit():
     assert abs(langid._tail(odd, 0.001) - langid._tail(values, 0.001)) < 0.5
 
 
+def test_every_labelled_text_calibrates(spark, monkeypatch):
+    """Whatever the ids hash to: each text and each of its cuts is scored once, without its counts."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang is not null and doc_id % 3 <> 0")
+    of_one_part = docs.filter("pmod(xxhash64(doc_id, 'calibration'), 4) <> 0")
+    seen = []
+    own = langid.calibration
+    monkeypatch.setattr(langid, "calibration", lambda rows, *more: seen.append(rows) or own(rows, *more))
+    model = langid.train(of_one_part)
+    assert model.mean is not None and np.isfinite(model.limit).all()
+    assert model.judged(["xq zzkj wvvq qqx kjhg " * 30])[2].all()
+    whole = seen[0].filter("whole").count()
+    labelled = of_one_part.filter(langid.letters(of_one_part.text)).count()
+    assert 0.97 * labelled <= whole <= labelled  # those predicted as labelled
+
+
+def test_counts_of_bins_give_the_limits_of_all_scores(spark):
+    rng = np.random.default_rng(5)
+    n = rng.integers(10, 3000, 4000)
+    lang, h = rng.integers(0, 2, 4000), 2 + rng.normal(size=4000) * np.sqrt(0.01 + 2 / n)
+    rows = [(int(x), bool(k % 2), int(m), float(e), -float(e), [float(1 - x), float(x), 0.0], None)
+            for k, (x, m, e) in enumerate(zip(lang, n, h))]
+    rows.append((None, None, None, None, None, None, [-abs(k - 4.0) for k in range(len(langid.TEMPERATURES))]))
+    schema = ("lang int, whole boolean, n long, h double, fits double, shares array<double>,"
+              " likelihood array<double>")
+    got = langid.calibration(spark.createDataFrame(rows, schema), 3, 0.001)
+    assert got["temperature"] == langid.TEMPERATURES[4]
+    assert np.allclose(got["mean"][:2], 2, atol=0.01) and got["mean"][2] == np.median(got["mean"][:2])
+    size = np.abs(np.log(n)[:, None] - np.log(langid.SIZES)).argmin(axis=1)
+    for i in (0, 1):
+        off, mine = (h - got["mean"][i]) ** 2, lang == i
+        between = np.median(off[mine & (n >= np.median(n[mine]))]) * 2.2
+        within = np.median((off * n)[mine]) * 2.2
+        assert np.allclose(got["spread"][i], [between, within], rtol=0.02)
+        excess = (h - got["mean"][i]) / np.sqrt(got["spread"][i, 0] + got["spread"][i, 1] / n)
+        assert (mine & (size == 4)).sum() >= langid.ENOUGH
+        assert got["limit"][i, 4] >= langid._tail(excess[mine & (size == 4)], 0.001) - 0.05
+    assert got["limit"].max() < 8
+
+
 def test_a_text_in_two_labelled_languages_is_not_rejected(spark, model):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id % 3 = 0 and length(text) > 600").collect()
     of = {x: [r.text[:300] for r in rows if r.lang == x] for x in ("de", "fr")}
