@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from levylens.llm import decontaminate, langid, minhash, packing, pii
 from levylens.llm.queries import pii_key, table, tokenizer_path
+from levylens.session import fit_batches
 from levylens.sources.sinks import staged
 
 #: The columns of `documents`; any others go.
@@ -29,12 +30,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in none of the labelled languages go; all labelled documents are learned from."""
+    fit_batches(spark)
     found = langid.identified(docs, langid.train(docs))
     return found.filter("not rejected").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
+    fit_batches(spark)
     rows = keyed(docs)
     found = minhash.near_duplicates(rows, words=5, similarity_percent=80, id_col="row")
     members = found.select(F.col("doc_id").alias("row"), "component_id")
@@ -46,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold four fifths of a benchmark item's shingles go."""
+    fit_batches(spark)
     rows = keyed(docs)
     found = decontaminate.contained_items(rows, table(spark, folder, "benchmark"), id_col="row")
     dropped = found.select(F.col("doc_id").alias("row")).distinct()
@@ -60,6 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of the training sequences that the documents are packed into."""
+    fit_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -1,7 +1,11 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from levylens.llm.queries import KNOWN_KEY, tokenizer_path
+from levylens.session import BATCH_BYTES, fit_batches
 from tests.llm import brute
 from tests.llm.test_packing import checked
 
@@ -89,3 +93,35 @@ def test_repeated_and_missing_ids(spark, tmp_path):
     spark.createDataFrame([(5, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, t) for i, t in rows if t != two)
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 4000))
+    docs = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"),
+    )
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for name in ("language", "near duplicates", "decontamination", "sequences"):
+            spark.conf.unset(setting)
+            stages[name](spark, docs.limit(5), str(tmp_path))
+            found = docs.select("doc_id", "text").mapInArrow(sizes, "n long, size long").collect()
+            assert max(r["size"] for r in found) < BATCH_BYTES + 50_000, name
+            assert sum(r["n"] for r in found) == 1000
+        bound = str(BATCH_BYTES)
+        for own, then in {"100k": "100k", "1M": "1M", "5m": bound, "1g": bound, "9000000b": bound}.items():
+            spark.conf.set(setting, own)
+            fit_batches(spark)
+            assert spark.conf.get(setting).removesuffix("b") == then
+    finally:
+        spark.conf.unset(setting)
