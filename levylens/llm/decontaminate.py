@@ -126,8 +126,10 @@ def contained_items(
         F.col(f"`{item_id_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")
     ).toDF("item_id", "text")
     test = test.filter("item_id is not null and text is not null").distinct()
-    schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
-    out = spark.createDataFrame([], schema)
+    names = ["doc_id", "item_id", "item_shingles", "shared_shingles"]
+    schema = ", ".join(f"{x} long" for x in names)
+    # no table of Python rows: for one, executors start a second set of Python processes
+    out = spark.range(0).select(*[F.lit(None).cast("long").alias(x) for x in names])
     key = key or new_key()
     for block in _blocks(test, words, key):
         out = out.unionByName(own.mapInArrow(_search(spark, block, words, percent, key), schema))

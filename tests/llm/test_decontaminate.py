@@ -40,6 +40,18 @@ def test_empty_tables(spark):
     assert run(spark, [(1, "a b c d e")], []).collect() == []
 
 
+def test_only_the_search_runs_python(spark):
+    """A table made of Python rows would be read by Python processes besides those of the search."""
+    docs = spark.range(3).selectExpr("id AS doc_id", "'a b c d e f' AS text")
+    items = spark.range(2).selectExpr("id AS item_id", "'a b c d e' AS text")
+    found = decontaminate.contained_items(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ExistingRDD" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(d, i, 1, 1) for d in range(3) for i in range(2)]
+    none = decontaminate.contained_items(docs, items.limit(0))
+    assert none.dtypes == found.dtypes and none.collect() == []
+
+
 def test_repeated_rows(spark):
     docs = [(1, "a b c d e f g")] * 2
     got = run(spark, docs, [(4, "A b c d e f", 0)] * 2).collect()

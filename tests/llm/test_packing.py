@@ -1,4 +1,6 @@
 import collections
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from levylens.llm import packing
-from levylens.llm._words import buffers
+from levylens.llm._words import buffers, parts
 from levylens.llm.queries import op2_packing, tokenizer_path
 from tests.llm.brute import colliding_words
 
@@ -94,3 +96,20 @@ def test_lowest_cost_with_room():
 def test_capacities():
     assert packing.capacities(2 * 1024 + 700, False) == [1024, 1024]
     assert packing.capacities(1024 + 700, True) == [1024, 512, 128, 32, 16, 8, 4]
+
+
+def test_memory_of_a_batch():
+    """3.8 MB of text are encoded in slices that take 16 MB at most, beside the words remembered."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=16_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.encode(*buffers(batch.column(1)))  # the words and what is kept by the process
+    tracemalloc.start()
+    try:
+        for part in parts(batch, 1, packing.PART_BYTES):
+            encoder.encode(*buffers(part.column(1)))
+        assert tracemalloc.get_traced_memory()[1] < 16_000_000
+    finally:
+        tracemalloc.stop()
